@@ -1,6 +1,457 @@
-"""Queries of the engine by name, with SQL that gives the same rows where SQL can."""
+"""Queries of the engine by name, with SQL that gives the same rows where SQL can.
+
+Passages of `benchmark` are queries, `documents` are targets; a text's ASCII letters are its residues. The taxonomy is the
+tree root, regions, nations, customers.
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqweave.functions import alphabet, scores, shapes
+from seqweave.operators import align, graph, joins, masking, ranking, seeds, taxonomy, translation
+from seqweave.plans import cluster
+from seqweave.plans.search import SearchConfig, corrected_bits, search
+from seqweave.sources import files, sinks
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("oid"), alphabet.text_to_residues(F.col("text")).alias("seq"), "source")
+    return t.withColumn("len", F.length("seq"))
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("oid"), alphabet.text_to_residues(F.col("text")).alias("seq"))
+    return t.withColumn("len", F.length("seq"))
+
+
+SHAPE = shapes.SHAPES["default"][0]
+FROM, TO = alphabet.reduction_map()
+RESIDUES = "translate(upper(regexp_replace(coalesce(text,''),'[^A-Za-z]','','g')),'UO','XX')"
+T = f"t AS (SELECT doc_id AS oid, {RESIDUES} AS seq FROM documents)"
+Q = f"q AS (SELECT item_id AS oid, {RESIDUES} AS seq FROM benchmark)"
+
+
+def sql_windows(name: str, of: str, span: int, seq: str = "seq") -> str:
+    return f"{name} AS (SELECT oid, pos, substr(s, pos + 1, {span}) AS win FROM (SELECT oid, s, CAST(unnest(range(0, length(s) - {span} + 1)) AS INTEGER) AS pos FROM (SELECT oid, {seq} AS s FROM {of})))"
+
+
+def sql_seeds(name: str, of: str, code: str = SHAPE, shape: int = 0) -> str:
+    key = " || ".join(f"substr(win, {i + 1}, {n})" for i, n in shapes.runs(code))
+    reduced = f"translate(seq, '{FROM}', '{TO}')"
+    return f"{sql_windows(name + '_w', of, len(code), reduced)}, {name} AS (SELECT {shape} AS shape, {key} AS seed, oid, pos FROM {name}_w WHERE NOT regexp_matches({key}, '[X*_]'))"
+
+
+SEEDS = f"{T}, {Q}, {sql_seeds('ts', 't')}, {sql_seeds('qs', 'q')}"
+PAIRED = f"{SEEDS}, j AS (SELECT a.shape, a.seed, a.oid AS qid, a.pos AS i, b.oid AS tid, b.pos AS j FROM qs a JOIN ts b ON a.shape = b.shape AND a.seed = b.seed)"
+#: Identities in the window, clipped at both ends.
+BACK = "least(16, j.i, j.j)"
+IDENTITIES = f"list_sum(list_transform(range(0, least({BACK} + 32, length(q.seq) - j.i + {BACK}, length(t.seq) - j.j + {BACK})), lambda k: CASE WHEN substr(q.seq, CAST(j.i - {BACK} + 1 + k AS INTEGER), 1) = substr(t.seq, CAST(j.j - {BACK} + 1 + k AS INTEGER), 1) AND substr(q.seq, CAST(j.i - {BACK} + 1 + k AS INTEGER), 1) NOT IN ('X', '*', '_') THEN 1 ELSE 0 END))"
+HITS = f"{PAIRED}, h0 AS (SELECT j.shape, j.seed, j.qid, j.i, j.tid, j.j, CAST({IDENTITIES} AS INTEGER) AS hamming FROM j JOIN q ON q.oid = j.qid JOIN t ON t.oid = j.tid), h AS (SELECT * FROM h0 WHERE hamming >= 11)"
+GROUPED = f"{HITS}, g AS (SELECT qid, tid, count(*) AS n_hits, max(hamming) AS best FROM h GROUP BY qid, tid)"
+
+
+def target_seeds(spark, d):
+    return seeds.spaced_seeds(documents(spark, d), [SHAPE])
+
+
+def query_seeds(spark, d):
+    return seeds.spaced_seeds(passages(spark, d), [SHAPE])
+
+
+def pairs(spark, d):
+    return joins.seed_join(query_seeds(spark, d), target_seeds(spark, d))
+
+
+def hits(spark, d):
+    return joins.hamming_filter(pairs(spark, d), passages(spark, d), documents(spark, d), 11)
+
+
+@query(f"WITH {T} SELECT oid, seq, CAST(length(seq) AS INTEGER) AS len FROM t")
+def seq_normalize(spark, d):
+    return documents(spark, d).select("oid", "seq", "len")
+
+
+@query(f"WITH {T} SELECT count(*) AS sequences, CAST(coalesce(sum(length(seq)), 0) AS BIGINT) AS letters, CAST(max(length(seq)) AS INTEGER) AS longest FROM t")
+def seq_stats(spark, d):
+    return files.db_info(documents(spark, d))
+
+
+@query(f"WITH {T}, r AS (SELECT unnest(string_split('{','.join(scores.RESIDUES)}', ',')) AS residue), c AS (SELECT oid, residue, CAST(length(seq) - length(replace(seq, residue, '')) AS INTEGER) AS n, length(regexp_replace(seq, '[^{scores.RESIDUES}]', '', 'g')) AS t FROM t, r) SELECT oid, residue, n, round(n / CAST(t AS DOUBLE), 9) AS frequency FROM c WHERE n > 0")
+def composition(spark, d):
+    return masking.composition(documents(spark, d)).withColumn("frequency", F.round("frequency", 9))
+
+
+@query(f"WITH {T} SELECT oid, translate(seq, '{FROM}', '{TO}') AS reduced FROM t")
+def reduce_alphabet(spark, d):
+    return documents(spark, d).select("oid", alphabet.reduce_residues(F.col("seq")).alias("reduced"))
+
+
+@query(f"WITH {T} SELECT oid, reverse(seq) AS reversed FROM t")
+def reverse_seq(spark, d):
+    return documents(spark, d).select("oid", F.reverse("seq").alias("reversed"))
+
+
+@query(f"WITH {T} SELECT oid, md5(seq) AS digest FROM t")
+def hash_seq(spark, d):
+    return documents(spark, d).select("oid", F.md5("seq").alias("digest"))
+
+
+@query(f"WITH {T}, {sql_windows('w', 't', 6)} SELECT win AS kmer, count(*) AS n FROM w WHERE NOT regexp_matches(win, '[X*_]') GROUP BY win ORDER BY n DESC, kmer LIMIT 100")
+def kmer_topn(spark, d):
+    return seeds.kmer_counts(documents(spark, d), 6, 100)
+
+
+@query(f"WITH {T}, {sql_seeds('ts', 't')}, {sql_seeds('tt', 't', shapes.SHAPES['default'][1], 1)} SELECT shape, oid, count(*) AS n, count(DISTINCT seed) AS keys, min(seed) AS low, max(seed) AS high FROM (SELECT * FROM ts UNION ALL SELECT * FROM tt) GROUP BY shape, oid")
+def seeds_spaced(spark, d):
+    s = seeds.spaced_seeds(documents(spark, d), shapes.SHAPES["default"])
+    return s.groupBy("shape", "oid").agg(F.count("*").alias("n"), F.countDistinct("seed").alias("keys"), F.min("seed").alias("low"), F.max("seed").alias("high"))
+
+
+@query(f"WITH {Q}, {sql_seeds('s', 'q', '111111')} SELECT shape, seed, oid, pos FROM s")
+def seeds_contiguous(spark, d):
+    return seeds.contiguous_seeds(passages(spark, d), 6)
+
+
+_ENTROPY = f"{math.lgamma(11)!r} - " + " - ".join(f"lgamma(length(seed) - length(replace(seed, '{g[0]}', '')) + 1)" for g in alphabet.REDUCTIONS["murphy10"].split())
+
+
+@query(f"WITH {Q}, {sql_seeds('qs', 'q')} SELECT shape, seed, oid, pos FROM qs WHERE {_ENTROPY} >= {0.8 * math.log(2) * 10!r}")
+def seed_complexity(spark, d):
+    return seeds.complex_seeds(query_seeds(spark, d), SHAPE.count("1"), 0.8)
+
+
+@query(f"WITH {T}, {sql_seeds('ts', 't')}, c AS (SELECT shape, seed, count(*) AS n FROM ts GROUP BY shape, seed), k AS (SELECT shape, floor(avg(n) + 20 * coalesce(stddev_pop(n), 0)) AS cut FROM c GROUP BY shape) SELECT oid, count(*) AS n FROM ts WHERE (shape, seed) NOT IN (SELECT (c.shape, c.seed) FROM c JOIN k ON c.shape = k.shape WHERE n > cut) GROUP BY oid")
+def seed_frequency_mask(spark, d):
+    return seeds.drop_frequent(target_seeds(spark, d), 20).groupBy("oid").agg(F.count("*").alias("n"))
+
+
+_MINIMIZERS = """, v AS (SELECT shape, oid, pos, row_number() OVER w AS k, min({{'h': md5(seed), 'pos': pos, 'seed': seed}}) OVER (PARTITION BY shape, oid ORDER BY pos ROWS BETWEEN {w} PRECEDING AND CURRENT ROW) AS b FROM {s} WINDOW w AS (PARTITION BY shape, oid ORDER BY pos)),
+m AS (SELECT shape, oid, pos AS last, b.seed AS seed, b.pos AS pos, lag(b.seed) OVER (PARTITION BY shape, oid ORDER BY pos) AS before FROM v WHERE k > {w}) SELECT shape, seed, oid, pos FROM m WHERE before IS NULL OR before <> seed"""
+
+
+@query(f"WITH {T}, {sql_seeds('ts', 't')}" + _MINIMIZERS.format(w=11, s="ts"))
+def minimizers(spark, d):
+    return seeds.minimizers(target_seeds(spark, d), 12)
+
+
+@query(f"WITH {T}, {sql_seeds('ts', 't')}, u AS (SELECT shape, oid, seed, min(pos) AS pos FROM ts GROUP BY shape, oid, seed), r AS (SELECT *, row_number() OVER (PARTITION BY shape, oid ORDER BY md5(seed)) AS k FROM u) SELECT shape, oid, seed, pos FROM r WHERE k <= 21")
+def sketch_n(spark, d):
+    return seeds.sketch(target_seeds(spark, d), 21)
+
+
+@query(f"WITH {PAIRED} SELECT shape, seed, qid, i, tid, j FROM j")
+def seed_join(spark, d):
+    return pairs(spark, d)
+
+
+@query(f"WITH {Q}, {sql_seeds('qs', 'q')} SELECT a.shape, a.seed, a.oid AS qid, a.pos AS i, b.oid AS tid, b.pos AS j FROM qs a JOIN qs b ON a.shape = b.shape AND a.seed = b.seed WHERE a.oid < b.oid")
+def seed_join_self(spark, d):
+    return joins.self_join(query_seeds(spark, d))
+
+
+@query(f"WITH {SEEDS}, l AS (SELECT s.*, length(t.seq) AS len FROM ts s JOIN t ON s.oid = t.oid), p AS (SELECT shape, seed, oid AS tid, pos AS j FROM l QUALIFY row_number() OVER (PARTITION BY shape, seed ORDER BY len DESC, oid, pos) = 1) SELECT qs.shape, qs.seed, qs.oid AS qid, qs.pos AS i, p.tid, p.j FROM qs JOIN p ON qs.shape = p.shape AND qs.seed = p.seed")
+def seed_join_star(spark, d):
+    t, q = target_seeds(spark, d), query_seeds(spark, d)
+    return joins.star_join(q.withColumn("len", F.lit(0)), t.join(documents(spark, d).select("oid", "len"), "oid"), "target").select("shape", "seed", "qid", "i", "tid", "j")
+
+
+@query(f"WITH {Q}, {sql_seeds('qs', 'q')} SELECT a.shape, a.seed, a.oid AS qid, a.pos AS i, b.oid AS tid, b.pos AS j FROM qs a JOIN qs b ON a.shape = b.shape AND a.seed = b.seed JOIN q x ON x.oid = a.oid JOIN q y ON y.oid = b.oid WHERE a.oid < b.oid AND least(length(x.seq), length(y.seq)) >= 0.8 * greatest(length(x.seq), length(y.seq))")
+def seed_join_len_ratio(spark, d):
+    h = joins.with_length_ratio(joins.self_join(query_seeds(spark, d)), passages(spark, d), 0.8)
+    return h.select("shape", "seed", "qid", "i", "tid", "j")
+
+
+@query(f"WITH {SEEDS} SELECT shape, seed, oid, pos FROM ts WHERE (shape, seed) IN (SELECT (shape, seed) FROM qs)")
+def query_seed_semi(spark, d):
+    return seeds.only_shared(target_seeds(spark, d), query_seeds(spark, d)).select("shape", "seed", "oid", "pos")
+
+
+@query(f"WITH {SEEDS}, n AS (SELECT shape, seed, sqrt(count(*)) AS r FROM ts GROUP BY shape, seed) SELECT oid, round(sum(coalesce(r, 0)), 6) AS rank FROM qs LEFT JOIN n ON qs.shape = n.shape AND qs.seed = n.seed GROUP BY oid")
+def kmer_rank(spark, d):
+    return joins.kmer_rank(query_seeds(spark, d), target_seeds(spark, d)).withColumn("rank", F.round("rank", 6))
+
+
+@query(f"WITH {HITS} SELECT shape, seed, qid, i, tid, j, hamming FROM h")
+def hamming_window_filter(spark, d):
+    return hits(spark, d).select("shape", "seed", "qid", "i", "tid", "j", "hamming")
+
+
+@query(f"WITH {HITS}, l AS (SELECT *, lag(i) OVER (PARTITION BY qid, tid, i - j ORDER BY i, shape) AS before FROM h) SELECT qid, tid, i, j, hamming FROM l WHERE before IS NULL OR i - before >= 48")
+def leftmost_dedup(spark, d):
+    return joins.leftmost(hits(spark, d)).select("qid", "tid", "i", "j", "hamming")
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, n_hits, best FROM g")
+def hits_group_target(spark, d):
+    return joins.group_hits(hits(spark, d))
+
+
+def scored(spark, d):
+    return joins.group_hits(hits(spark, d)).select("qid", "tid", F.col("best").alias("score"), F.col("n_hits"), (1.0 / F.col("n_hits")).alias("evalue"), (F.col("best") * 2.0).alias("bitscore"))
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, best AS score, n_hits, CAST(row_number() OVER (PARTITION BY qid ORDER BY 1.0 / n_hits, best DESC, tid) AS INTEGER) AS rank FROM g QUALIFY rank <= 25")
+def topk_targets(spark, d):
+    return ranking.top_targets(scored(spark, d), 25).select("qid", "tid", "score", "n_hits", "rank")
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, best AS score FROM g QUALIFY best * 2.0 >= greatest(1.0, max(best * 2.0) OVER (PARTITION BY qid) * 0.9)")
+def top_percent(spark, d):
+    return ranking.top_percent(scored(spark, d), 10).select("qid", "tid", "score")
+
+
+@query(f"WITH {HITS} SELECT qid, tid, hamming AS score, i AS qstart, j AS sstart, CAST(row_number() OVER (PARTITION BY qid, tid ORDER BY hamming DESC, i, j) AS INTEGER) AS hspnum FROM h QUALIFY hspnum <= 2")
+def max_hsps(spark, d):
+    h = hits(spark, d).select("qid", "tid", F.col("hamming").alias("score"), F.col("i").alias("qstart"), F.col("j").alias("sstart"))
+    return ranking.best_per_pair(h, 2)
+
+
+@query(f"WITH {GROUPED} SELECT oid, seq FROM q WHERE oid IN (SELECT qid FROM g)")
+def aligned_queries(spark, d):
+    return ranking.aligned(passages(spark, d), hits(spark, d)).select("oid", "seq")
+
+
+@query(f"WITH {GROUPED} SELECT oid, seq FROM q WHERE oid NOT IN (SELECT qid FROM g)")
+def unaligned_queries(spark, d):
+    return ranking.unaligned(passages(spark, d), hits(spark, d)).select("oid", "seq")
+
+
+_P = scores.statistics()
+_BITS = f"(({_P['lambda']!r} * (best * 4) - {math.log(_P['K'])!r}) / {math.log(2)!r})"
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, round({_BITS}, 6) AS bits, round(log10(1e9 * length(q.seq) * pow(2.0, -{_BITS})), 6) AS log_evalue, CAST(ceil(({_BITS} * {math.log(2)!r} + {math.log(_P['K'])!r}) / {_P['lambda']!r} - 1e-9) AS BIGINT) AS raw FROM g JOIN q ON q.oid = g.qid")
+def bits_evalue_simple(spark, d):
+    g = joins.group_hits(hits(spark, d)).join(passages(spark, d).select(F.col("oid").alias("qid"), "len"), "qid")
+    bits = scores.bitscore(F.col("best") * 4)
+    return g.select("qid", "tid", F.round(bits, 6).alias("bits"), F.round(F.log10(scores.evalue_simple(bits, F.col("len"))), 6).alias("log_evalue"), scores.raw_score(bits - 1e-9).cast("long").alias("raw"))
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, round(least(100.0, greatest(0.0, 16.56 * (best * 4) / greatest(48, n_hits) + 11.41)), 9) AS approx_pident FROM g")
+def approx_identity(spark, d):
+    g = joins.group_hits(hits(spark, d))
+    return g.select("qid", "tid", F.round(scores.approx_identity(F.col("best") * 4, F.lit(48), F.col("n_hits")), 9).alias("approx_pident"))
+
+
+@query(f"WITH {T} SELECT CAST(row_number() OVER (ORDER BY length(seq) DESC, oid DESC) - 1 AS BIGINT) AS oid, oid AS old, CAST(length(seq) AS INTEGER) AS len FROM t")
+def length_sort_renumber(spark, d):
+    return cluster.renumber_by_length(documents(spark, d)).select("oid", "old", "len")
+
+
+@query(f"WITH {T} SELECT oid, CAST(floor(coalesce(sum(length(seq)) OVER (ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10000.0) AS BIGINT) AS block FROM t")
+def block_partition_letters(spark, d):
+    return files.split_blocks(documents(spark, d), 10000).select("oid", "block")
+
+
+def shared_passage_edges(spark, d):
+    """Documents that share a passage, as a star around the smallest."""
+    g = joins.group_hits(hits(spark, d))
+    hub = g.withColumn("src", F.min("tid").over(Window.partitionBy("qid")))
+    return hub.where("src <> tid").select("src", F.col("tid").alias("dst"), F.col("best").cast("double").alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+EDGES = f"{GROUPED}, e AS (SELECT src, tid AS dst, CAST(max(best) AS DOUBLE) AS weight FROM (SELECT min(tid) OVER (PARTITION BY qid) AS src, tid, best FROM g) WHERE src <> tid GROUP BY src, tid), b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"
+
+
+@query(f"WITH {EDGES} SELECT src, dst, max(weight) AS weight FROM b GROUP BY src, dst")
+def edges_symmetric(spark, d):
+    return graph.symmetric(shared_passage_edges(spark, d))
+
+
+@query(f"WITH {EDGES} SELECT src AS node, count(DISTINCT dst) AS degree FROM b GROUP BY src")
+def node_degree(spark, d):
+    return graph.degree(graph.symmetric(shared_passage_edges(spark, d)))
+
+
+REACH = "r AS (SELECT oid AS node, oid AS component FROM t UNION SELECT b.dst, r.component FROM r JOIN b ON b.src = r.node)"
+
+
+@query(f"WITH RECURSIVE {EDGES}, {REACH} SELECT node, min(component) AS component FROM r GROUP BY node")
+def connected_components(spark, d):
+    return graph.connected_components(documents(spark, d).select(F.col("oid").alias("node")), shared_passage_edges(spark, d))
+
+
+STEP = "m AS (SELECT dst AS member, max(src) AS rep FROM e WHERE src < dst GROUP BY dst)"
+
+
+@query(f"WITH RECURSIVE {EDGES}, {STEP}, c AS (SELECT member, rep FROM m UNION SELECT c.member, m.rep FROM c JOIN m ON c.rep = m.member) SELECT member, min(rep) AS rep FROM c GROUP BY member")
+def rep_closure(spark, d):
+    m = shared_passage_edges(spark, d).where("src < dst").groupBy(F.col("dst").alias("member")).agg(F.max("src").alias("rep"))
+    return graph.path_compression(m)
+
+
+@query(f"WITH {EDGES}, {STEP} SELECT a.member, coalesce(b.rep, a.rep) AS rep FROM m a LEFT JOIN m b ON a.rep = b.member")
+def compose_rounds(spark, d):
+    m = shared_passage_edges(spark, d).where("src < dst").groupBy(F.col("dst").alias("member")).agg(F.max("src").alias("rep"))
+    return graph.compose_rounds(m, m)
+
+
+def tree(spark, d):
+    region, nation, customer = (table(spark, d, n) for n in ("region", "nation", "customer"))
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("taxid"), F.lit(1).cast("long").alias("parent"), F.lit("no rank").alias("rank"))
+    rows = rows.union(region.select((F.col("r_regionkey") + 10).cast("long"), F.lit(1).cast("long"), F.lit("phylum")))
+    rows = rows.union(nation.select((F.col("n_nationkey") + 100).cast("long"), (F.col("n_regionkey") + 10).cast("long"), F.lit("genus")))
+    return rows.union(customer.select((F.col("c_custkey") + 1000000).cast("long"), (F.col("c_nationkey") + 100).cast("long"), F.lit("species")))
+
+
+TREE = "n AS (SELECT CAST(1 AS BIGINT) AS taxid, CAST(1 AS BIGINT) AS parent, 'no rank' AS rank UNION ALL SELECT r_regionkey + 10, 1, 'phylum' FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 10, 'genus' FROM nation UNION ALL SELECT c_custkey + 1000000, c_nationkey + 100, 'species' FROM customer)"
+UP = f"{TREE}, a AS (SELECT taxid, taxid AS ancestor, 0 AS depth FROM n UNION ALL SELECT a.taxid, n.parent, a.depth + 1 FROM a JOIN n ON a.ancestor = n.taxid WHERE n.parent <> n.taxid)"
+
+
+@query(f"WITH RECURSIVE {UP} SELECT taxid, coalesce(string_agg(CAST(ancestor AS VARCHAR), ',' ORDER BY depth DESC) FILTER (WHERE ancestor <> 1), '') AS lineage FROM a GROUP BY taxid")
+def tree_lineage(spark, d):
+    return taxonomy.lineages(tree(spark, d)).select("taxid", F.array_join(F.transform("lineage", lambda x: x.cast("string")), ",").alias("lineage"))
+
+
+@query(f"WITH RECURSIVE {UP} SELECT n.taxid, coalesce(min(a.ancestor), 0) AS ancestor FROM n LEFT JOIN (SELECT a.* FROM a JOIN n ON a.ancestor = n.taxid WHERE n.rank = 'phylum') a ON n.taxid = a.taxid GROUP BY n.taxid")
+def rank_ancestor(spark, d):
+    return taxonomy.at_rank(tree(spark, d), "phylum")
+
+
+def order_taxa(spark, d):
+    return table(spark, d, "orders").select("o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.col("o_orderstatus").alias("s"), (F.col("o_custkey") + 1000000).alias("taxid")).select(F.concat_ws("/", "o_orderpriority", "y", "m", "s").alias("key"), "taxid")
+
+
+@query(f"WITH RECURSIVE {UP}, k AS (SELECT DISTINCT concat_ws('/', o_orderpriority, year(o_orderdate), month(o_orderdate), o_orderstatus) AS key, o_custkey + 1000000 AS taxid FROM orders), c AS (SELECT k.key, a.ancestor, count(*) AS c FROM k JOIN a ON k.taxid = a.taxid GROUP BY k.key, a.ancestor), m AS (SELECT k.key, count(*) AS m FROM k JOIN n ON k.taxid = n.taxid GROUP BY k.key), l AS (SELECT taxid, max(depth) AS level FROM a GROUP BY taxid) SELECT c.key, max_by(c.ancestor, l.level) AS lca FROM c JOIN m ON c.key = m.key AND c.c = m.m JOIN l ON l.taxid = c.ancestor GROUP BY c.key")
+def lca(spark, d):
+    return taxonomy.lca(order_taxa(spark, d), tree(spark, d), "key")
+
+
+@query("SELECT c_custkey AS oid, c_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def under_filter(spark, d):
+    c = table(spark, d, "customer")
+    tax = c.select(F.col("c_custkey").alias("oid"), (F.col("c_custkey") + 1000000).alias("taxid"))
+    return taxonomy.include_taxa(c.select(F.col("c_custkey").alias("oid"), F.col("c_name").alias("title")), tax, tree(spark, d), [12])
+
+
+@query("SELECT c_custkey AS oid, c_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
+def taxon_exclude(spark, d):
+    c = table(spark, d, "customer")
+    tax = c.select(F.col("c_custkey").alias("oid"), (F.col("c_custkey") + 1000000).alias("taxid"))
+    return taxonomy.exclude_taxa(c.select(F.col("c_custkey").alias("oid"), F.col("c_name").alias("title")), tax, tree(spark, d), [12])
+
+
+@query(f"WITH {GROUPED} SELECT g.qid, g.tid, d.source AS title, q.oid IS NOT NULL AS known FROM g LEFT JOIN documents d ON g.tid = d.doc_id LEFT JOIN q ON g.qid = q.oid UNION ALL SELECT q.oid, CAST(-1 AS BIGINT), '*', TRUE FROM q WHERE q.oid NOT IN (SELECT qid FROM g)")
+def titles_join(spark, d):
+    g = joins.group_hits(hits(spark, d)).select("qid", "tid")
+    rows = g.join(documents(spark, d).select(F.col("oid").alias("tid"), F.col("source").alias("title")), "tid", "left").select("qid", "tid", "title", F.lit(True).alias("known"))
+    rest = ranking.unaligned(passages(spark, d), g).select(F.col("oid").alias("qid"), F.lit(-1).cast("long").alias("tid"), F.lit("*").alias("title"), F.lit(True).alias("known"))
+    return rows.union(rest)
+
+
+@query(f"WITH {GROUPED}, r AS (SELECT qid, tid, row_number() OVER (PARTITION BY qid ORDER BY best DESC, tid) AS rank, source FROM g JOIN documents ON tid = doc_id) SELECT qid, tid, CAST(rank AS INTEGER) AS rank, source FROM r QUALIFY row_number() OVER (PARTITION BY qid, source ORDER BY rank) <= 2")
+def taxon_k(spark, d):
+    g = joins.group_hits(hits(spark, d)).join(documents(spark, d).select(F.col("oid").alias("tid"), "source"), "tid")
+    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("best").desc(), "tid"))).select("qid", "tid", "rank", "source", F.array("source").alias("taxa"))
+    return ranking.taxon_k(g, 2).drop("taxa")
+
+
+@query(f"WITH {GROUPED} SELECT qid, tid, best AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY best DESC, tid) AS INTEGER) AS rank FROM g QUALIFY rank <= 5")
+def global_rank(spark, d):
+    return ranking.global_rank(joins.group_hits(hits(spark, d)).select("qid", "tid", F.col("best").alias("score")), 5)
+
+
+@query(f"WITH {Q} SELECT oid, CAST(f AS INTEGER) AS frame, CAST(length(seq) AS INTEGER) AS source_len FROM (SELECT oid, translate(regexp_replace(seq, '[^ACGTN]', 'N', 'g'), '', '') AS seq, unnest(range(0, 6)) AS f FROM q) WHERE f < 6")
+def six_frames(spark, d):
+    dna = passages(spark, d).select("oid", F.regexp_replace("seq", "[^ACGTN]", "N").alias("seq"))
+    return translation.six_frames(dna).select("oid", "frame", "source_len")
+
+
+# --- beyond SQL: rows only, held against brute force in tests
+
+
+@query()
+def search_topk(spark, d):
+    """The minimum slice: which documents hold text similar to a passage, by ungapped score."""
+    from seqweave.plans.search import best_hits
+
+    q, t = passages(spark, d), documents(spark, d)
+    cfg = SearchConfig(codes=[SHAPE], seed_cut=0)
+    letters = t.agg(F.sum("len")).first()[0] or 1
+    h = best_hits(q, t, cfg).join(q.select(F.col("oid").alias("qid"), "len"), "qid")
+    bits = scores.bitscore(F.col("score"))
+    h = h.withColumn("bitscore", bits).withColumn("evalue", F.col("len") * F.lit(float(letters)) * F.pow(F.lit(2.0), -F.col("bitscore"))).where("evalue <= 0.001")
+    return ranking.top_targets(h, 25).select("qid", "tid", "score", "bitscore", "evalue", "rank")
+
+
+def _search(spark, d, **options):
+    return search(passages(spark, d), documents(spark, d).withColumn("id", F.concat(F.lit("doc"), "oid")), SearchConfig(seed_cut=0, **options))
+
+
+@query()
+def search_full(spark, d):
+    return corrected_bits(_search(spark, d)).select("qid", "tid", "rank", "score", "evalue", "bitscore", "corrected_bitscore", "pident", "length", "qstart", "qend", "sstart", "send", "cigar", "btop")
+
+
+@query()
+def search_tabular(spark, d):
+    return sinks.tabular(_search(spark, d))
+
+
+@query()
+def search_paf(spark, d):
+    return sinks.paf(_search(spark, d, k=3))
+
+
+@query()
+def search_json(spark, d):
+    return sinks.json_flat(_search(spark, d, top=10))
+
+
+@query()
+def mask_seg(spark, d):
+    return masking.mask(passages(spark, d).select("oid", "seq"), "seg")
+
+
+@query()
+def mask_tantan(spark, d):
+    return masking.mask(passages(spark, d).select("oid", "seq"), "tantan")
+
+
+@query()
+def gvc_clusters(spark, d):
+    e = graph.symmetric(shared_passage_edges(spark, d))
+    return graph.greedy_vertex_cover(documents(spark, d).select(F.col("oid").alias("node")), e)
+
+
+@query()
+def mcl_clusters(spark, d):
+    return graph.mcl(documents(spark, d).select(F.col("oid").alias("node")), shared_passage_edges(spark, d))
+
+
+@query()
+def linclust_passages(spark, d):
+    return cluster.linclust(passages(spark, d), 90.0)
+
+
+@query()
+def range_cull(spark, d):
+    h = hits(spark, d).select("qid", "tid", F.col("hamming").alias("score"), F.col("hamming").cast("double").alias("bitscore"), F.col("i").alias("qstart"), (F.col("i") + 31).alias("qend"))
+    return ranking.range_cull(h, 1)
+
+
+@query()
+def self_scores(spark, d):
+    q = passages(spark, d).select("oid", F.col("seq").alias("qseq"), F.col("seq").alias("tseq"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    return align.score_hits(q, 1 << 20).select("oid", "score")
