@@ -98,7 +98,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     taken = mix(docs, **options)
     taken = taken.groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    rows = docs.join(taken.where("_size > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     whole = F.array_repeat(F.col("_size"), F.col("_epochs").cast("int"))
     passes = F.concat(whole, F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("_words", F.explode(passes))

@@ -74,4 +74,71 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lines, op4_suffixes, op5_language, op6_chat, op7_jaccard, op8_pack, op9_media, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_SQL1 = rf"""
+WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s GROUP BY source),
+lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src),
+tg AS (SELECT source, source_size, CAST(least(3.0 * source_size, w * max(level) OVER ()) AS DOUBLE) AS target FROM lev),
+hs AS (SELECT CAST(floor(sum(target) / 16 + 0.5) AS BIGINT) AS house FROM tg),
+q1 AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS r FROM tg, hs, unnest(range(1, house + 1)) AS u(k) WHERE target > 0),
+won AS (SELECT tg.source, count(q1.r) AS blocks FROM tg LEFT JOIN (SELECT q1.* FROM q1, hs WHERE r <= house) q1 ON tg.source IS NOT DISTINCT FROM q1.source GROUP BY tg.source),
+d AS (SELECT s.*, tg.source_size, tg.target, won.blocks, CAST('0x' || substr(md5('17shard:' || doc_id), 1, 8) AS BIGINT) % CAST(least(4096, greatest(1, ceil(tg.source_size / 262144.0))) AS BIGINT) AS shard FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source JOIN won ON s.source IS NOT DISTINCT FROM won.source),
+sh AS (SELECT source, shard, sum(size) AS shard_size, any_value(blocks) AS blocks FROM d GROUP BY source, shard),
+q2 AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS r FROM sh, unnest(range(1, blocks + 1)) AS u(k) WHERE shard_size > 0),
+quo AS (SELECT sh.source, sh.shard, sh.shard_size, least(16 * count(q2.r), 3 * sh.shard_size) AS quota FROM sh LEFT JOIN (SELECT * FROM q2 WHERE r <= blocks) q2 ON sh.source IS NOT DISTINCT FROM q2.source AND sh.shard = q2.shard GROUP BY sh.source, sh.shard, sh.shard_size),
+pl AS (SELECT d.*, quo.shard_size, quo.quota, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY md5('17order:' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM d JOIN quo ON d.source IS NOT DISTINCT FROM quo.source AND d.shard = quo.shard),
+ep AS (SELECT *, CASE WHEN shard_size > 0 THEN CAST(quota AS BIGINT) // CAST(shard_size AS BIGINT) ELSE 0 END AS n FROM pl)
+SELECT doc_id, source, size, source_size, target, CAST(n * size + CASE WHEN n < 3 THEN greatest(0, least(e, quota - n * shard_size) - (e - size)) ELSE 0 END AS BIGINT) AS taken FROM ep"""
+
+_SOLID = r"length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))"
+_FAILS = rf"""(length(x) - length(replace(x, '|', '')) >= 2
+OR (length(x) - length(regexp_replace(x, '[#*$%&<>]', '', 'g'))) * 100 > {_SOLID} * 5
+OR ((length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g'))) * 100 > {_SOLID} * 40 AND {_SOLID} >= 20)
+OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 4 AND NOT regexp_matches(x, '[.!?:;…。！？»”"'')\]][\x20\x09-\x0D]*$'))
+OR regexp_matches(lower(x), '{line_rules.BOILERPLATE}'))"""
+
+_SQL3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+c AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS k FROM r WHERE n > 1),
+rep AS (SELECT doc_id, sum(k) AS n FROM c GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, list_sum(list_transform(list_filter(ls, lambda x: NOT {_FAILS}), lambda x: {_SOLID})) AS cc FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(cc, 0) * 100 >= word_chars * 50 AS kept, CAST(coalesce(cc, 0) AS BIGINT) AS clean_chars FROM f"""
+
+_SQL4 = rf"""
+WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, i - 1 AS s, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+o AS (SELECT g, min(doc_id) AS owner, max(doc_id) AS last FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, s, owner, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 1 ELSE 0 END AS fresh FROM g JOIN o ON g.g = o.g),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM h),
+m AS (SELECT doc_id, min(s) AS s, max(s) + 50 AS e, min(owner) AS owner FROM r GROUP BY doc_id, run)
+SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(e - s AS BIGINT) AS n_words, owner AS first_doc_id FROM m"""
+
+_SQL6 = """
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(12 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + 1 + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 11) AS n FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM a"""
+
+_SQL7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(c) AS c FROM r GROUP BY node) k ON k.node = d.doc_id"""
+
+_SQL10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, max(page_id) AS top FROM k WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, k.h AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM k LEFT JOIN m ON k.h = m.h AND k.n >= 1000"""
+
+#: The others learn a model (2, 5), use a tokenizer (8) or describe a stored form (9); tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_mix": _SQL1, "op3_lines": _SQL3, "op4_suffixes": _SQL4, "op6_chat": _SQL6, "op7_jaccard": _SQL7, "op10_warc": _SQL10}
