@@ -455,3 +455,75 @@ def range_cull(spark, d):
 def self_scores(spark, d):
     q = passages(spark, d).select("oid", F.col("seq").alias("qseq"), F.col("seq").alias("tseq"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     return align.score_hits(q, 1 << 20).select("oid", "score")
+
+
+def _pairs_with_text(spark, d):
+    h = joins.leftmost(hits(spark, d)).select("qid", "tid", "i", "j")
+    q, t = passages(spark, d), documents(spark, d)
+    return h.join(q.select(F.col("oid").alias("qid"), F.col("seq").alias("qseq")), "qid").join(t.select(F.col("oid").alias("tid"), F.col("seq").alias("tseq")), "tid")
+
+
+@query()
+def gapped_filter(spark, d):
+    from seqweave.operators import chaining
+
+    return chaining.gapped_filter(_pairs_with_text(spark, d), 60)
+
+
+@query()
+def chain_hits(spark, d):
+    from seqweave.operators import chaining
+
+    return chaining.chains(_pairs_with_text(spark, d))
+
+
+def as_dna(seqs: DataFrame) -> DataFrame:
+    """Residues as bases, by their place in the alphabet."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return seqs.select("oid", F.translate("seq", letters, ("ACGT" * 7)[:26]).alias("seq"))
+
+
+@query()
+def map_dna(spark, d):
+    from seqweave.operators import nucleotide
+
+    return nucleotide.map_queries(as_dna(passages(spark, d)), as_dna(documents(spark, d)))
+
+
+@query()
+def translated_hits(spark, d):
+    from seqweave.plans.search import translated_search
+
+    protein = translation.six_frames(as_dna(documents(spark, d))).where("frame = 0").select("oid", "seq")
+    return translated_search(as_dna(passages(spark, d)), protein, SearchConfig(seed_cut=0, k=5)).select("qid", "tid", "qframe", "qstart", "qend", "sstart", "send", "score", "evalue")
+
+
+@query()
+def frameshift_hits(spark, d):
+    from seqweave.operators import frameshift
+
+    q = as_dna(passages(spark, d))
+    p = translation.six_frames(q).where("frame = 1").select("oid", F.col("seq").alias("tseq"))
+    return frameshift.align_frameshift(q.select("oid", F.col("seq").alias("qseq")).join(p, "oid"))
+
+
+@query()
+def search_archive_view(spark, d):
+    """HSPs written once as an archive and projected again from it."""
+    path = sinks.write_archive(_search(spark, d, k=10))
+    return sinks.view(spark, path, k=3)
+
+
+@query()
+def search_taxon(spark, d):
+    """Lowest common ancestor of each passage's targets; a document's taxon is the customer of its number."""
+    h = _search(spark, d, top=10)
+    tax = documents(spark, d).select("oid", (F.col("oid") % 150 + 1000001).alias("taxid"))
+    return sinks.taxon(h, tax, tree(spark, d))
+
+
+@query(f"WITH {T}, {sql_windows('w', 't', 8)} SELECT count(DISTINCT win) > 0 AS some FROM w")
+def approx_distinct(spark, d):
+    """Distinct 8-mers by a HyperLogLog sketch; only that there are some is compared."""
+    w = seeds.windows(documents(spark, d), 8)
+    return w.agg((F.approx_count_distinct("win", 0.02) > 0).alias("some"))

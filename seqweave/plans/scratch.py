@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="seqweave-checkpoint-"))
+    return _own[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a folder of its own only where the session names none."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqweave-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

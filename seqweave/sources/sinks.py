@@ -148,3 +148,26 @@ def merge_archives(archives: list[DataFrame]) -> DataFrame:
         out = out.unionByName(a)
     ids = out.select("sseqid").distinct().withColumn("_t", F.xxhash64("sseqid"))
     return out.join(ids, "sseqid").withColumn("tid", F.col("_t")).drop("_t")
+
+
+def write_archive(hsps: DataFrame, path: str | None = None) -> str:
+    """All HSP columns as Parquet; without a path, below the session's shared folder."""
+    import uuid
+
+    from seqweave.plans.scratch import shared_folder
+
+    path = path or f"{shared_folder(hsps.sparkSession)}/archive-{uuid.uuid4().hex}"
+    hsps.write.parquet(path)
+    return path
+
+
+def view(spark, path: str, fields: list[str] | None = None, k: int | None = None, top: float | None = None) -> DataFrame:
+    """An archive's HSPs as output fields, ranked again if k or top is given."""
+    from seqweave.operators import ranking
+
+    h = spark.read.parquet(path)
+    if top is not None:
+        h = ranking.top_percent(h, top)
+    if k:
+        h = ranking.top_targets(h.drop("rank"), k)
+    return project(h, fields)
