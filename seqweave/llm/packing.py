@@ -29,37 +29,80 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 class CachedTokenizer:
-    """Ids of texts by way of their chunks between ASCII white space, each encoded once.
+    """Ids of texts by way of their chunks between ASCII white space, each encoded once in a worker process.
 
-    Only for tokenizers that drop white space and never look across it (as word_bpe_49k does): a text's ids are then its
-    chunks' ids in a row. `by_chunk=False` encodes whole texts.
+    Only for tokenizers that drop white space, never look across it, fold case, split letters from other characters and end
+    each word with a mark (as word_bpe_49k does): a text's ids are then its chunks' ids in a row, and a chunk of letters
+    with ASCII punctuation behind it is its lower-case letters' ids and its punctuation's. Other chunks are encoded as they
+    stand. `by_chunk=False` encodes whole texts.
     """
 
-    most = 400_000
+    most = 500_000
     chunk = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_chunk = Tokenizer.from_file(path), by_chunk
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        split, letters = {}, set()
+        for c in chunks:
+            if m := self.plain.fullmatch(c):
+                split[c] = word, tail = m[1].lower(), m[2]
+                if word not in self.parts:
+                    letters.add(word)
+                if tail not in self.parts:
+                    self.parts[tail] = self.encoded(tail)
+            else:
+                self.known[c] = self.encoded(c)
+        new = sorted(letters)
+        lines = [" ".join(new[k : k + 200]) for k in range(0, len(new), 200)]
+        if lines:
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(new):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(new, cut, strict=True):
+                    self.parts[word] = data[at:end]
+                    at = end
+            else:  # a tokenizer without such marks
+                self.parts.update((word, self.encoded(word)) for word in new)
+        for c, (word, tail) in split.items():
+            self.known[c] = self.parts[word] + self.parts[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_chunk:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = self.chunk.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
+            return [self.encoded(x) for x in texts]
+        chunks = [self.chunk.findall(x) for x in texts]
+        new = set().union(*chunks).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            self.parts = {"": b""}
+            new = set().union(*chunks)
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+
+
+_tokenizers: dict[str, CachedTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> CachedTokenizer:
+    """One tokenizer a worker process: tasks that follow each other keep what it has learnt."""
+    if path not in _tokenizers:
+        _tokenizers[path] = CachedTokenizer(path)
+    return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -67,13 +110,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        t = CachedTokenizer(tokenizer)
+        t = shared_tokenizer(tokenizer)
         for batch in batches:
             text = K.as_strings(batch.column("text"))
-            for i, j in K.chunks(text, 8 << 20):
+            for i, j in K.chunks(text, 2 << 20):
                 out = ([], [], [], [], [])
-                for doc_id, x in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), text.slice(i, j - i), strict=True):
-                    ids = t.ids(x.as_py() or "") + end
+                texts = [x or "" for x in text.slice(i, j - i).to_pylist()]
+                for doc_id, ids in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), t.ids(texts), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         part = memoryview(ids)[4 * start : 4 * (start + window)]
