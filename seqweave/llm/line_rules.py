@@ -26,8 +26,11 @@ def chars_less(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column, symbols_percent: int = 5, bars: int = 2, shout_percent: int = 40, open_words: int = 4) -> Column:
-    """True where a line (with a word) fails a rule; percentages are of its characters, white space aside."""
+def line_fails(line: Column, symbols_percent: int = 5, bars: int = 2, shout_percent: int = 40, open_words: int = 4, prose_words: int = 15) -> Column:
+    """True where a line (with a word) fails a rule; percentages are of its characters, white space aside.
+
+    A line of open_words words or more must end a sentence, unless it has prose_words: then it is prose that was cut.
+    """
     solid = chars_less(line, SPACES)
     symbols = F.length(line) - chars_less(line, "#*$%&<>")
     n_bars = F.length(line) - chars_less(line, "|")
@@ -35,8 +38,8 @@ def line_fails(line: Column, symbols_percent: int = 5, bars: int = 2, shout_perc
     by_symbols = symbols * 100 > solid * symbols_percent
     by_bars = n_bars >= bars
     by_capitals = (capitals * 100 > solid * shout_percent) & (solid >= 20)
-    many = line.rlike(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]+){{{open_words - 1}}}{HAS_WORD}")
-    unfinished = many & ~line.rlike(r"""[.!?:;…。！？»”"')\]][\x20\x09-\x0D]*$""")
+    least = lambda n: line.rlike(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]+){{{n - 1}}}{HAS_WORD}")
+    unfinished = least(open_words) & ~least(prose_words) & ~line.rlike(r"""[.!?:;…。！？»”"')\]][\x20\x09-\x0D]*$""")
     return by_bars | by_symbols | by_capitals | unfinished | F.lower(line).rlike(BOILERPLATE)
 
 

@@ -96,7 +96,7 @@ _SOLID = r"length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))"
 _FAILS = rf"""(length(x) - length(replace(x, '|', '')) >= 2
 OR (length(x) - length(regexp_replace(x, '[#*$%&<>]', '', 'g'))) * 100 > {_SOLID} * 5
 OR ((length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g'))) * 100 > {_SOLID} * 40 AND {_SOLID} >= 20)
-OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 4 AND NOT regexp_matches(x, '[.!?:;…。！？»”"'')\]][\x20\x09-\x0D]*$'))
+OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) BETWEEN 4 AND 14 AND NOT regexp_matches(x, '[.!?:;…。！？»”"'')\]][\x20\x09-\x0D]*$'))
 OR regexp_matches(lower(x), '{line_rules.BOILERPLATE}'))"""
 
 _SQL3 = rf"""
