@@ -139,6 +139,8 @@ def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, D
     windows = runtime.materialize(window_hashes(docs.join(found, "doc_id"), min_words), "windows")
     place = F.struct("doc_id", "start")
     shared = windows.groupBy("hash").agg(F.min(place).alias("_own"), F.max("doc_id").alias("_last")).where(F.col("_own.doc_id") < F.col("_last"))
+    # written first: the join then deals both sides itself, and a hash that very many documents have can be split over tasks
+    shared = runtime.materialize(shared, "shared")
     hits = windows.join(shared, "hash").select("doc_id", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"))
     return hits, copies
 
