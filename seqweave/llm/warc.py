@@ -228,4 +228,6 @@ def read(manifest: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RECORD.split(", ")])
 
-    return manifest.select("path", "root", "sha256").repartition(F.col("path")).mapInArrow(parsed, RECORD)
+    # a number of tasks by the number of files: by their few bytes of manifest, Spark would put all files in one
+    files = max(1, min(manifest.count(), 100_000))
+    return manifest.select("path", "root", "sha256").repartition(files, "path").mapInArrow(parsed, RECORD)
