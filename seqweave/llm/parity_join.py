@@ -5,8 +5,8 @@ Hamming distance of two sketches is at most the symmetric difference of the sets
 in at most d elements, d fixed by a size band; a sketch of more than d parts therefore agrees in at least one part
 (pigeonhole). Each part's bits, hashed with band and part number, are join keys.
 
-Parts without a bit say little. With `spare` more parts than the pigeonhole needs, a pair agrees in a part with bits unless
-both documents have more than `spare` empty parts; only such documents emit their empty parts too. Nothing is lost.
+Parts without a bit say little. With spare parts beyond what the pigeonhole needs, a pair agrees in a part with bits unless
+both documents have more empty parts than that; only such documents emit their empty parts too. Nothing is lost.
 
 Documents with equal sets are settled by one hash group and only one of them is joined. Keys are range-sorted, so that a key
 shared by very many documents is split over tasks; in each run the first document is the hub, and hub pairs are verified
@@ -14,12 +14,15 @@ exactly. Documents of a key that hub pairs left in different components are then
 the links complete: pairs inside one component need no test, as only components are returned.
 
 Defined results: words are separated by ASCII white space and A-Z is lower-cased; fewer words than n make one shingle; no
-word, or a null text, makes an empty set, linked with nothing; rows that repeat a doc_id count as documents that are linked
-if their sets are; a null doc_id is a document without links; an empty table gives an empty result.
+word, or a null text, makes an empty set, linked with nothing; rows that repeat a doc_id are one document with the links of
+all their sets, each row in the component of its own set; a null doc_id is a document without links; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,10 @@ from . import runtime
 
 U = np.uint64
 PART_BITS = 1024
-FOLDED = 4  # 64-bit words of the folded sketch, itself a parity sketch
+SHORT = 16  # 64-bit words of the sketch that pairs of one key are compared by
+LEAST_BITS = 10  # two to the power of this: bits of the smallest whole sketch
+#: Up to so many rows (two or three numbers each) a list of documents or keys is sent to all executors.
+MOST_SENT = 1_000_000
 
 
 def bands(percent: int, ratio: float = 1.5, most: int = 1 << 40) -> np.ndarray:
@@ -48,10 +54,22 @@ def most_difference(high: int, percent: int) -> int:
     return 2 * high * (100 - percent) // (100 + percent)
 
 
+def spare_parts(d: int, low: int) -> int:
+    """More parts than a set of `low` elements is likely to leave empty: the mean and three deviations."""
+    spare = 1
+    for _ in range(20):
+        parts = d + 1 + spare
+        empty = parts * math.exp(-low / parts)
+        spare = 1 + math.ceil(empty + 3 * math.sqrt(empty))
+    return spare
+
+
 class Sketcher:
-    def __init__(self, n: int, percent: int, spare: int = 2):
-        self.n, self.percent, self.spare = n, percent, spare
+    def __init__(self, n: int, percent: int):
+        self.n, self.percent = n, percent
         self.low = bands(percent)
+        # a smaller set of the band before, at least percent of this one's low, is among those that should not emit empties
+        self.spare = [spare_parts(most_difference(int(h) - 1, percent), int(a)) for a, h in zip(self.low, self.low[1:], strict=False)]
 
     def sets(self, text: pa.Array):
         """Sorted distinct shingle hashes of each text."""
@@ -72,7 +90,7 @@ class Sketcher:
         if d == 0:
             parts, spare = 1, 0
         else:
-            spare = self.spare
+            spare = self.spare[band]
             parts = d + 1 + spare
         salted = K.mix(s ^ U((band * 0x9E3779B97F4A7C15) & (2**64 - 1)))
         part = ((salted >> U(32)) * U(parts)) >> U(32)
@@ -100,30 +118,72 @@ class Sketcher:
         return np.concatenate(out)
 
 
-def folded_sketch(s: np.ndarray) -> list[int]:
-    bit = (K.mix(s + U(99)) & U(64 * FOLDED - 1)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=64 * FOLDED) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+def folded_sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set: each element toggles one of two to four times as many bits as there are elements."""
+    bits = 1 << max(LEAST_BITS, (2 * len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((K.mix(s + U(99)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def short_sketch(whole: bytes) -> bytes:
+    """A sketch folded to SHORT words of 64 bits."""
+    a = np.frombuffer(whole, dtype=np.uint64)
+    while len(a) > SHORT:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches; the longer is folded, which keeps it a parity sketch."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table to join with: to all executors if it has at most MOST_SENT rows, else by a shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
 def sketches(docs: DataFrame, k: Sketcher) -> DataFrame:
-    """(doc_id, n, h1, h2, keys): set size, 128-bit hash of the set, and join keys as packed 64-bit numbers."""
+    """(doc_id, n, h1, h2, sketch, f0..f3): set size, 128-bit hash of the set, its whole sketch, and that folded short."""
 
     def made(batches):
         for batch in batches:
             ids, text = batch.column("doc_id"), K.as_strings(batch.column("text"))
             for i, j in K.chunks(text, 8 << 20):
-                n, h1, h2, keys = [], [], [], []
+                n, h1, h2, whole = [], [], [], []
                 for s in k.sets(text.slice(i, j - i)):
                     n.append(len(s))
                     h1.append(int(K.mix(s).sum(dtype=np.uint64).view(np.int64)))
                     h2.append(int(np.bitwise_xor.reduce(K.mix(s + U(7))).view(np.int64)) if len(s) else 0)
-                    keys.append(k.keys(s).view(np.int64))
-                at = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-                packed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), packed], names=["doc_id", "n", "h1", "h2", "keys"])
+                    whole.append(folded_sketch(s))
+                short = np.frombuffer(b"".join(map(short_sketch, whole)), dtype=np.int64).reshape(-1, SHORT)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(whole, pa.binary()), *(pa.array(np.ascontiguousarray(short[:, c])) for c in range(SHORT))], names=["doc_id", "n", "h1", "h2", "sketch", *(f"f{c}" for c in range(SHORT))])
+
+    return typed(docs).mapInArrow(made, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary" + "".join(f", f{c} bigint" for c in range(SHORT)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
+
+def typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def join_keys(docs: DataFrame, k: Sketcher) -> DataFrame:
+    """(key, doc_id): join keys of every document that has a set. They are made from the texts each time they are read:
+    that costs a pass over the texts and saves a table as large as the input."""
+
+    def made(batches):
+        for batch in batches:
+            ids, text = batch.column("doc_id").to_numpy(zero_copy_only=False), K.as_strings(batch.column("text"))
+            for i, j in K.chunks(text):
+                keys = [k.keys(s) for s in k.sets(text.slice(i, j - i))]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[i:j], [len(x) for x in keys]).astype(np.int64))], names=["key", "doc_id"])
+
+    return typed(docs).where("doc_id is not null").mapInArrow(made, "key bigint, doc_id bigint")
 
 
 def key_runs(keyed: DataFrame) -> DataFrame:
@@ -171,18 +231,35 @@ def key_runs(keyed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "key bigint, doc_id bigint, hub bigint, edge boolean")
 
 
+def near(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs whose sizes and whole sketches allow a link: Hamming distance at most the most difference."""
+    for c in ("a", "b"):
+        pairs = pairs.join(s.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}")), c)
+    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    for c in ("a", "b"):
+        pairs = pairs.join(s.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}")), c)
+
+    def allowed(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            apart = np.array([distance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], dtype=np.int64)
+            mask = pa.array(apart * (100 + percent) <= (n + m) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allowed, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
     """(a, b) of pairs whose sets reach the threshold, by exact sizes of intersection and union."""
     pairs = runtime.materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def gathered(batches):
         for batch in batches:
             sets = [s.tobytes() for s in k.sets(K.as_strings(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    # rows that repeat a doc_id with different texts are told apart by the caller; here one set stands for an id
+    rows = typed(docs).join(sent(wanted), "doc_id", "left_semi")
     sets = runtime.materialize(rows.mapInArrow(gathered, "doc_id bigint, s binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     percent = k.percent
@@ -192,9 +269,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if min(len(p), len(q)) * 100 < max(len(p), len(q)) * percent:
-                    ok.append(False)
-                    continue
                 both = np.concatenate((p, q))
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -205,23 +279,36 @@ def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
     return runtime.materialize(both.mapInArrow(tested, "a bigint, b bigint").distinct(), "links")
 
 
+def settled(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, with documents of equal sets replaced by the one that stands for them."""
+    copies = sent(copies)
+    for c in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
     k = Sketcher(n, percent)
     s = runtime.materialize(sketches(docs, k), "sketches")
-    same = s.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    same = runtime.materialize(same, "classes")
-    reps = same.select(F.col("rep"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    keyed = s.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    runs = runtime.materialize(key_runs(keyed), "runs")
+    known = s.where("n > 0 and doc_id is not null")
+    same = runtime.materialize(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")), "classes")
+    copies = known.select("doc_id", "h1", "h2", "n").join(same.where("_rows > 1"), ["h1", "h2", "n"]).where("doc_id <> rep")
+    copies = runtime.materialize(copies.groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
+    whole = known.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "sketch", *(f"f{c}" for c in range(SHORT)))
+    # one document of each set is enough; where copies are too many to be sent, they come along and are settled below
+    lone = typed(docs).join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= MOST_SENT else docs
+    runs = runtime.materialize(key_runs(join_keys(lone, k)), "runs")
     # a run cut by task edges: its hubs meet here, one row per task and key
     cut = runs.where("edge").groupBy("key").agg(F.min("hub").alias("top"), F.max("hub").alias("_other")).where("top < _other")
     hubs = runs.where("edge").select("key", "hub").distinct().join(cut, "key").where("hub <> top").select(F.col("top").alias("a"), F.col("hub").alias("b"))
     pairs = runs.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(hubs).distinct()
-    links = verified(pairs, docs, k)
-    found = runtime.connected_components(links, "a", "b")
-    links = links.union(residual_links(runs, pairs, found, s, docs, k))
-    found = runtime.connected_components(links, "a", "b")
+    pairs = runtime.materialize(settled(pairs, copies), "candidates")
+    links = verified(near(pairs, whole, percent), docs, k)
+    found = runtime.materialize(runtime.connected_components(links, "a", "b"), "components")
+    more = residual_links(runs, pairs, found, copies, whole, docs, k)
+    if more is not None:
+        found = runtime.connected_components(links.union(more), "a", "b")
     named = same.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component_id"))
     out = s.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     out = out.join(named, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")) & (F.col("n_shingles") == F.col("_n")), "left")
@@ -229,14 +316,23 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", mine.alias("component_id"))
 
 
-def residual_links(runs: DataFrame, tested: DataFrame, found: DataFrame, s: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
+def residual_links(runs: DataFrame, tested: DataFrame, found: DataFrame, copies: DataFrame, whole: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame | None:
     """Links between documents that share a key, that no test has compared and that lie in different components."""
-    comp = F.coalesce("component", "doc_id").alias("comp")
-    r = runs.select("key", "doc_id").distinct().join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", comp)
+    # documents that are not alone: (doc_id, rep, comp)
+    placed = copies.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = runtime.materialize(placed.union(found.select("node", "node", "component")), "placed")
+    r = runs.select("key", "doc_id").join(sent(placed), "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
     open_keys = r.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2").select("key")
-    r = r.join(open_keys, "key").join(s.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    open_keys = runtime.materialize(open_keys, "open-keys")
+    bits = [f"f{c}" for c in range(SHORT)]
+    r = r.join(sent(open_keys), "key", "left_semi").distinct().join(whole.select("doc_id", "n", *bits), "doc_id")
     r = runtime.materialize(r, "open")
-    left, right = r.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), r.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * k.percent)
-    more = left.join(right, "key").where(fits).select("a", "b").distinct()
-    return verified(more.join(tested, ["a", "b"], "left_anti"), docs, k)
+    side = lambda x: r.select("key", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("comp", "n", *bits)))
+    left, right = side("a"), side("b")
+    apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in bits), F.lit(0))
+    fits = (F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * k.percent)
+    # the short sketches' distance is a lower bound as well, so a pair beyond it cannot be a link
+    fits = fits & (apart * (100 + k.percent) <= (F.col("na") + F.col("nb")) * (100 - k.percent))
+    more = left.join(right, "key").where(fits).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    more = runtime.materialize(near(more, whole, k.percent), "more")
+    return verified(more, docs, k) if more.limit(1).count() else None

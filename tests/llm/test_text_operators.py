@@ -85,10 +85,11 @@ def test_sketch_distance_is_a_lower_bound():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        a, b = (np.unique(rng.integers(0, 400, 300).astype(np.uint64)) for _ in range(2))
-        x, y = (np.frombuffer(parity_join.folded_sketch(parity_join.K.mix(s)), dtype=np.uint64) for s in (a, b))
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+    for size in (1, 30, 300, 700, 3000):
+        for other in (size, size + size // 7):
+            a, b = (np.unique(rng.integers(0, 2 * size, n).astype(np.uint64)) for n in (size, other))
+            x, y = (parity_join.folded_sketch(parity_join.K.mix(s)) for s in (a, b))
+            assert parity_join.distance(x, y) <= len(np.setxor1d(a, b))
 
 
 def brute_passages(rows, least):
