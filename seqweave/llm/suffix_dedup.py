@@ -9,7 +9,7 @@ matched exactly (by a 64-bit hash) against all others, which gives each passage
 
 Ties in the sort are broken by document and position, so a passage that is everywhere is split over tasks; at a task's
 edges a suffix that has not seen both neighbours counts as a candidate, and extension decides. Exact copies are settled
-first: only the smallest doc_id of equal texts is extended, the others share its passages.
+first: only the smallest doc_id of equal texts is extended, the others share its passages and their first documents.
 
 Defined results: words are separated by ASCII white space and compared exactly; null and empty texts have no passages; a
 text below min_words words has none; repeats inside one document do not count unless another document has them too; rows
@@ -158,7 +158,10 @@ def passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """One row per passage (doc_id, start, end, n_words, first_doc_id, text), in words, that another document has too."""
     hits, copies = repeated_windows(docs, min_words)
     d = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = d.join(copies.groupBy("doc_id").agg(F.min("rep").alias("owner")), "doc_id").select("doc_id", F.lit(0).alias("start"), runtime.word_count(F.col("text")).cast("int").alias("end"), "owner")
+    # only the representative is extended: what it shares with an earlier document, all its copies share; written first, see above
+    firsts = hits.groupBy(F.col("doc_id").alias("rep")).agg(F.min("owner").alias("_first")).where(F.col("_first") < F.col("rep"))
+    copies = copies.join(runtime.materialize(firsts, "firsts"), "rep", "left").select("doc_id", F.least("rep", "_first").alias("owner"))
+    whole = d.join(copies.groupBy("doc_id").agg(F.min("owner").alias("owner")), "doc_id").select("doc_id", F.lit(0).alias("start"), runtime.word_count(F.col("text")).cast("int").alias("end"), "owner")
     whole = whole.where(F.col("end") >= min_words).distinct()
     parts = merged(hits, min_words).join(whole.select("doc_id"), "doc_id", "left_anti").select("doc_id", "start", "end", "owner")
     spans = parts.union(whole)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seqweave.llm import line_rules, parity_join, suffix_dedup
 
-from .helpers import DOCS, corpus, words
+from .helpers import DOCS, corpus, prose, words
 
 
 def repeat_words(w, k=5):
@@ -120,6 +120,44 @@ def test_repeated_passages(spark, least):
     assert got == brute_passages(rows, least)
 
 
+def brute_spans(rows, least):
+    """Rows of passages(): windows that another document has too, joined where they touch, with the first document of all."""
+    where, starts = defaultdict(set), defaultdict(dict)
+    for doc_id, text, *_ in rows:
+        w = words(text)
+        for i in range(len(w) - least + 1):
+            where[tuple(w[i : i + least])].add(doc_id)
+    for doc_id, text, *_ in rows:
+        w = words(text)
+        for i in range(len(w) - least + 1):
+            owners = where[tuple(w[i : i + least])]
+            if len(owners) > 1:
+                starts[doc_id][i] = min(min(owners), starts[doc_id].get(i, doc_id))
+    out = []
+    for doc_id, found in starts.items():
+        spans = []
+        for i in sorted(found):
+            if spans and i <= spans[-1][1]:
+                spans[-1] = [spans[-1][0], i + least, min(spans[-1][2], found[i])]
+            else:
+                spans.append([i, i + least, found[i]])
+        out += [(doc_id, a, b, b - a, first) for a, b, first in spans]
+    return sorted(out)
+
+
+def test_copies_share_first_documents(spark):
+    import random
+
+    rng = random.Random(11)
+    shared = prose(rng, 60)
+    text = " ".join([prose(rng, 40), shared, prose(rng, 40)])
+    rows = [(3, " ".join([prose(rng, 30), shared, prose(rng, 30)])), (10, text), (20, text), (30, prose(rng, 80)), (40, " ".join([prose(rng, 70), shared]))]
+    rows = [(*r, "en", "s", len(r[1])) for r in rows] + [(100 + r[0], *r[1:]) for r in corpus(5)]
+    got = sorted(map(tuple, suffix_dedup.passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()))
+    assert got == brute_spans(rows, 50)
+    assert {r[0]: r[4] for r in got if r[0] < 100} == {3: 3, 10: 3, 20: 3, 40: 3}
+
+
 def test_cutting_repeats(spark):
     rows = corpus(6)
     docs = spark.createDataFrame(rows, DOCS)
