@@ -15,7 +15,7 @@ the links complete: pairs inside one component need no test, as only components
 
 Defined results: words are separated by ASCII white space and A-Z is lower-cased; fewer words than n make one shingle; no
 word, or a null text, makes an empty set, linked with nothing; rows that repeat a doc_id are one document with the links of
-all their sets, each row in the component of its own set; a null doc_id is a document without links; an empty table gives
+all their sets (each different set is joined as a node of its own and tied to the id's first); a null doc_id is a document without links; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweave.sources.files import number_rows
+
 from . import kernel as K
 from . import runtime
 
@@ -287,10 +289,56 @@ def settled(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def nodes(docs: DataFrame, k: Sketcher) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """docs with `_node`, the sketches with nodes for doc_id, and (_id, _h, _new) of nodes that are not their doc_id.
+
+    A row's node is its doc_id; where an id repeats with different sets, its texts after the first get numbers above all ids.
+    """
+    s = runtime.materialize(sketches(docs, k), "sketches")
+    key = F.col("doc_id").cast("long")
+    one = F.struct("h1", "h2", "n")
+    odd = s.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("_x"), F.max(one).alias("_y")).where("_x < _y").select(F.col("doc_id").alias("_id"))
+    odd = runtime.materialize(odd, "odd-ids")
+    if not odd.limit(1).count():
+        return docs.withColumn("_node", key), s, None
+    words = F.md5(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\v\f\r")).cast("binary"))
+    texts = docs.select(key.alias("_id"), words.alias("_h")).join(sent(odd), "_id", "left_semi").distinct()
+    texts = runtime.materialize(texts, "odd-texts")
+    others = texts.join(texts.groupBy("_id").agg(F.min("_h").alias("_least")), "_id").where("_h > _least").select("_id", "_h")
+    top = s.agg(F.max("doc_id")).first()[0]
+    if top + others.count() >= 1 << 63:
+        raise ValueError("no numbers above the largest doc_id are left for ids that repeat with different texts")
+    named = runtime.materialize(number_rows(others, ["_id", "_h"], top + 1).select("_id", "_h", F.col("oid").alias("_new")), "nodes")
+    new = sent(named.withColumnRenamed("_h", "_k"))
+    wide = docs.withColumn("_h", words).join(new, (key == F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
+    wide = wide.withColumn("_node", F.coalesce("_new", key)).select(*docs.columns, "_node")
+    again = wide.join(sent(odd), key == F.col("_id"), "left_semi").select(F.col("_node").alias("doc_id"), "text")
+    s = s.join(sent(odd), F.col("doc_id") == F.col("_id"), "left_anti").unionByName(sketches(again, k))
+    return wide, runtime.materialize(s, "sketches"), named
+
+
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
     k = Sketcher(n, percent)
-    s = runtime.materialize(sketches(docs, k), "sketches")
+    wide, s, named = nodes(docs, k)
+    d = wide.select(F.col("_node").alias("doc_id"), "text")
+    if named is None:
+        return linked(d, s, k)
+    out = linked(d, s, k, named.select(F.col("_id").alias("a"), F.col("_new").alias("b")))
+    out = out.join(sent(named.select("_id", "_new")), F.col("doc_id") == F.col("_new"), "left").withColumn("doc_id", F.coalesce("_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def node_components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """docs with `_node`, and components() of nodes: the different sets of a repeated doc_id count as documents of their own."""
+    k = Sketcher(n, percent)
+    wide, s, _ = nodes(docs, k)
+    return wide, linked(wide.select(F.col("_node").alias("doc_id"), "text"), s, k)
+
+
+def linked(docs: DataFrame, s: DataFrame, k: Sketcher, ties: DataFrame | None = None) -> DataFrame:
+    """components() of documents (doc_id, text) whose ids have one set each, with their sketches; ties (a, b) are links besides."""
+    percent = k.percent
     known = s.where("n > 0 and doc_id is not null")
     same = runtime.materialize(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")), "classes")
     copies = known.select("doc_id", "h1", "h2", "n").join(same.where("_rows > 1"), ["h1", "h2", "n"]).where("doc_id <> rep")
@@ -305,6 +353,8 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = runs.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(hubs).distinct()
     pairs = runtime.materialize(settled(pairs, copies), "candidates")
     links = verified(near(pairs, whole, percent), docs, k)
+    if ties is not None:
+        links = links.union(settled(ties, copies))
     found = runtime.materialize(runtime.connected_components(links, "a", "b"), "components")
     more = residual_links(runs, pairs, found, copies, whole, docs, k)
     if more is not None:

@@ -13,7 +13,8 @@ first: only the smallest doc_id of equal texts is extended, the others share its
 
 Defined results: words are separated by ASCII white space and compared exactly; null and empty texts have no passages; a
 text below min_words words has none; repeats inside one document do not count unless another document has them too; rows
-that repeat a doc_id are one document (if their texts differ, each row's text is searched under the shared id); a null
+that repeat a doc_id are one document (if their texts differ, each row's text is searched under the shared id; only the text
+that is a copy steps aside, and cuts are made in the text that they were found in); a null
 doc_id is not searched and kept as it is; an empty table gives no passages; other columns are left alone.
 """
 
@@ -99,12 +100,13 @@ def neighbour_candidates(suffixes: DataFrame) -> DataFrame:
 
 
 def window_hashes(candidates: DataFrame, min_words: int) -> DataFrame:
-    """(hash, doc_id, start) of every whole window of min_words words that holds a candidate in its first w words."""
+    """(hash, doc_id, row, last, start) of every whole window of min_words words that holds a candidate in its first w words."""
     w = (min_words - GRAM) // 2 + 1
 
     def hashed(batches):
         for batch in batches:
-            text, ids, found = K.as_strings(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("at")
+            text, found = K.as_strings(batch.column("text")), batch.column("at")
+            ids, row, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row", "last"))
             for i, j in K.chunks(text):
                 words = K.Words(text.slice(i, j - i))
                 if len(words.hash) < min_words:
@@ -120,51 +122,59 @@ def window_hashes(candidates: DataFrame, min_words: int) -> DataFrame:
                     np.add.at(step, np.clip(at - w + 1, 0, n), 1)
                     np.add.at(step, np.clip(at + 1, 0, n), -1)
                     start = np.flatnonzero(np.cumsum(step[:n]) > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[a + start].view(np.int64)), pa.array(np.full(len(start), ids[d], dtype=np.int64)), pa.array(start.astype(np.int32))], names=["hash", "doc_id", "start"])
+                    same = [pa.array(np.full(len(start), x[d], dtype=np.int64)) for x in (ids, row, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[a + start].view(np.int64)), *same, pa.array(start.astype(np.int32))], names=["hash", "doc_id", "row", "last", "start"])
 
-    return candidates.select("doc_id", "text", "at").mapInArrow(hashed, "hash bigint, doc_id bigint, start int")
+    return candidates.select("doc_id", "row", "last", "text", "at").mapInArrow(hashed, "hash bigint, doc_id bigint, row bigint, last bigint, start int")
 
 
 def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, owner, owner_start): windows that another document has too, owner the first (doc_id, place) of all;
-    and (doc_id, rep, copies): texts that are exact copies."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5(F.col("text")).alias("h"))
+    """(doc_id, row, start, owner, owner_start, owner_row, apart): windows that another document has too, owner the first
+    (doc_id, place) of all, row a hash of the text, apart whether a document other than exact copies has it;
+    and (doc_id, h, row, rep, last): texts that are exact copies, with the first and last doc_id that has them."""
+    row = F.xxhash64("text").alias("row")
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    classes = docs.where(F.col("text").isNotNull()).select("doc_id", "row", F.md5(F.col("text")).alias("h"))
     classes = runtime.materialize(classes, "copies")
-    groups = classes.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_most"))
-    copies = classes.join(groups.where(F.col("rep") < F.col("_most")), "h").select("doc_id", "rep").distinct()
+    groups = classes.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    copies = classes.join(groups.where(F.col("rep") < F.col("last")), "h").select("doc_id", "h", "row", "rep", "last").distinct()
+    copies = runtime.materialize(copies, "copied")
     suffixes = runtime.materialize(minimiser_suffixes(docs, min_words), "suffixes")
     found = neighbour_candidates(suffixes).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    found = found.join(copies.where(F.col("doc_id") != F.col("rep")).select("doc_id"), "doc_id", "left_anti")
-    windows = runtime.materialize(window_hashes(docs.join(found, "doc_id"), min_words), "windows")
-    place = F.struct("doc_id", "start")
-    shared = windows.groupBy("hash").agg(F.min(place).alias("_own"), F.max("doc_id").alias("_last")).where(F.col("_own.doc_id") < F.col("_last"))
+    # by doc_id, so that the texts are dealt once; an id has more than one entry only if it repeats
+    found = found.join(copies.groupBy("doc_id").agg(F.collect_list(F.struct("row", "rep", "last")).alias("_copies")), "doc_id", "left")
+    rows = docs.join(found, "doc_id").withColumn("_copy", F.try_element_at(F.filter("_copies", lambda c: c["row"] == F.col("row")), F.lit(1)))
+    rows = rows.where(F.col("_copy").isNull() | (F.col("doc_id") == F.col("_copy.rep"))).withColumn("last", F.coalesce("_copy.last", "doc_id"))
+    windows = runtime.materialize(window_hashes(rows, min_words), "windows")
+    place = F.struct("doc_id", "start", "row")
+    # a window that only one text has needs no match, even if that text stands for copies: they are reported whole
+    shared = windows.groupBy("hash").agg(F.min(place).alias("_own"), F.max("doc_id").alias("_most"), F.max("last").alias("_last"), F.count("*").alias("_n")).where((F.col("_own.doc_id") < F.col("_last")) & (F.col("_n") > 1))
     # written first: the join then deals both sides itself, and a hash that very many documents have can be split over tasks
-    shared = runtime.materialize(shared, "shared")
-    hits = windows.join(shared, "hash").select("doc_id", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"))
+    shared = runtime.materialize(shared.select("hash", "_own", (F.col("_own.doc_id") < F.col("_most")).alias("apart")), "shared")
+    hits = windows.join(shared, "hash").select("doc_id", "row", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"), F.col("_own.row").alias("owner_row"), "apart")
     return hits, copies
 
 
-def merged(hits: DataFrame, min_words: int) -> DataFrame:
-    """Windows of a document joined where they touch: (doc_id, start, end, owner)."""
-    order = Window.partitionBy("doc_id").orderBy("start")
-    h = hits.groupBy("doc_id", "start").agg(F.min("owner").alias("owner"))
-    h = h.withColumn("_new", (F.col("start") > F.lag("start").over(order) + min_words).cast("int"))
+def merged(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Spans (.., start, end, owner) of a document joined where they touch: (.., start, end, owner)."""
+    order = Window.partitionBy(*by).orderBy("start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    h = spans.groupBy(*by, "start").agg(F.max("end").alias("end"), F.min("owner").alias("owner"))
+    h = h.withColumn("_new", (F.col("start") > F.max("end").over(before)).cast("int"))
     h = h.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order))
-    return h.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), (F.max("start") + min_words).alias("end"), F.min("owner").alias("owner")).drop("_run")
+    return h.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("owner").alias("owner")).drop("_run")
 
 
 def passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """One row per passage (doc_id, start, end, n_words, first_doc_id, text), in words, that another document has too."""
     hits, copies = repeated_windows(docs, min_words)
-    d = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), runtime.word_count(F.col("text")).cast("int").alias("end"))
     # only the representative is extended: what it shares with an earlier document, all its copies share; written first, see above
-    firsts = hits.groupBy(F.col("doc_id").alias("rep")).agg(F.min("owner").alias("_first")).where(F.col("_first") < F.col("rep"))
-    copies = copies.join(runtime.materialize(firsts, "firsts"), "rep", "left").select("doc_id", F.least("rep", "_first").alias("owner"))
-    whole = d.join(copies.groupBy("doc_id").agg(F.min("owner").alias("owner")), "doc_id").select("doc_id", F.lit(0).alias("start"), runtime.word_count(F.col("text")).cast("int").alias("end"), "owner")
-    whole = whole.where(F.col("end") >= min_words).distinct()
-    parts = merged(hits, min_words).join(whole.select("doc_id"), "doc_id", "left_anti").select("doc_id", "start", "end", "owner")
-    spans = parts.union(whole)
+    firsts = hits.groupBy(F.col("doc_id").alias("rep"), "row").agg(F.min("owner").alias("_first")).where(F.col("_first") < F.col("rep"))
+    copies = copies.join(runtime.materialize(firsts, "firsts"), ["rep", "row"], "left").select("doc_id", "row", F.least("rep", "_first").alias("owner"))
+    whole = d.where(F.col("end") >= min_words).join(copies, ["doc_id", "row"]).select("doc_id", F.lit(0).alias("start"), "end", "owner")
+    windows = hits.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "owner")
+    spans = merged(windows.union(whole), ["doc_id"])
     return spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), F.col("owner").alias("first_doc_id"))
 
 
@@ -174,11 +184,13 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     Later exact copies of a text of min_words words or more go as a whole.
     """
     hits, copies = repeated_windows(docs, min_words)
-    later = hits.where((F.col("owner") != F.col("doc_id")) | (F.col("owner_start") != F.col("start")))
-    cut = merged(later, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    key = F.col("doc_id").cast("long")
-    d = docs.join(cut.withColumnRenamed("doc_id", "_cut"), key == F.col("_cut"), "left").join(copies.where(F.col("doc_id") != F.col("rep")).groupBy("doc_id").agg(F.min("rep").alias("_rep")).withColumnRenamed("doc_id", "_copy"), key == F.col("_copy"), "left")
-    d = d.where(F.col("_rep").isNull() | (runtime.word_count(F.col("text")) < min_words)).drop("_rep", "_copy", "_cut")
+    later = hits.where(F.col("apart") & ((F.col("owner") != F.col("doc_id")) | (F.col("owner_start") != F.col("start")) | (F.col("owner_row") != F.col("row"))))
+    later = later.select("doc_id", "row", "start", (F.col("start") + min_words).alias("end"), "owner")
+    cut = merged(later, ["doc_id", "row"]).groupBy(F.col("doc_id").alias("_cut")).agg(F.collect_list(F.struct("row", "start", "end")).alias("_spans"))
+    gone = copies.where(F.col("doc_id") != F.col("rep")).groupBy(F.col("doc_id").alias("_copy")).agg(F.collect_set("row").alias("_gone"))
+    key, row = F.col("doc_id").cast("long"), F.xxhash64("text")
+    d = docs.join(cut, key == F.col("_cut"), "left").join(gone, key == F.col("_copy"), "left").withColumn("_spans", F.filter("_spans", lambda x: x["row"] == row))
+    d = d.where(F.col("_gone").isNull() | ~F.array_contains("_gone", row) | (runtime.word_count(F.col("text")) < min_words)).select(*docs.columns, "_spans")
     names = docs.columns
     others = [c for c in names if c != "text"]
 

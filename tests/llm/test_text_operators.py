@@ -81,6 +81,38 @@ def test_parity_join_edge_rows(spark):
     assert got == [(2, 2, 2), (3, 2, 2), (3, 2, 2), (4, 0, 4)]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 120).split(" ") for _ in range(3))
+    near = [*b[:60], "changed", *b[61:]]
+    a, b, c, near = (" ".join(x) for x in (a, b, c, near))
+    rows = [(3, a), (5, a), (5, b), (9, near), (7, c), (7, ""), (None, a), (None, c)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    got = sorted((r["doc_id"], r["component_id"]) for r in parity_join.components(docs).where("doc_id is not null").collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, near), (10, c)]  # the class of b stands for itself by a row whose id is a copy elsewhere
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    got = sorted((r["doc_id"], r["component_id"]) for r in parity_join.components(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (8, 3), (9, 3), (10, 10)]
+
+
+def test_only_the_copied_text_steps_aside(spark):
+    import random
+
+    rng = random.Random(13)
+    a, b, shared = prose(rng, 90), prose(rng, 90), prose(rng, 60)
+    c = " ".join([prose(rng, 20), shared])
+    rows = [(3, a), (5, a), (5, b), (6, " ".join([shared, prose(rng, 30)])), (7, c), (7, b[: len(b) // 8]), (8, c), (8, a)]
+    rows = [(*r, "en", "s", len(r[1])) for r in rows]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sorted(map(tuple, suffix_dedup.passages(docs).collect())) == brute_spans(rows, 50)
+    kept = sorted((r["doc_id"], r["text"]) for r in suffix_dedup.without_repeats(docs).collect())
+    cut = c[: -len(shared)]
+    assert [(i, t.strip()) for i, t in kept] == sorted([(3, a), (5, b), (6, rows[3][1]), (7, cut.strip()), (7, rows[5][1].strip())])
+
+
 def test_sketch_distance_is_a_lower_bound():
     import numpy as np
 
