@@ -19,10 +19,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each component of near copies (five words, similarity 0.8)."""
-    found = parity_join.components(docs, n=5, percent=80).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document, the smallest doc_id, of each component of near copies (five words, similarity 0.8).
+
+    Where a doc_id repeats with different sets of five words, each is compared by itself, so that a text that is near
+    to nothing stays whatever its id's other texts are. Of rows with one id and one set the least stays, in the order of
+    the columns, text first. Rows with a null doc_id all stay.
+    """
+    wide, found = parity_join.node_components(docs, n=5, percent=80)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    one = wide.join(keep, F.col("_node") == F.col("_id"), "left_semi").groupBy("_node").agg(F.min(row).alias("_row"))
+    return one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)).union(docs.where(F.col("doc_id").isNull()))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from seqweave.llm import queries
 
-from .helpers import DOCS, corpus, words
+from .helpers import DOCS, corpus, prose, words
 from .test_text_operators import brute_components, brute_passages
 
 
@@ -32,6 +32,18 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in before} == {r["doc_id"] for r in after}
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    import random
+
+    rng = random.Random(14)
+    a, b, c, d = (prose(rng, 90) for _ in range(4))
+    rows = [(3, a), (5, a + " end"), (5, b), (5, b), (7, c), (7, ""), (None, a), (None, d), (None, d), (4, d)]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], DOCS).repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got.collect()) == sorted([(3, a), (5, b), (7, c), (7, ""), (-1, a), (-1, d), (-1, d), (4, d)])
+
+
 SF = "/root/testdata/sf0.001"
 
 
