@@ -94,8 +94,8 @@ def chain_segments(segments: list[tuple[int, int, int, int]], lost, gap_open: in
     return sorted(out, key=lambda c: -c["score"])
 
 
-def chains(hits: DataFrame, most: int = 4, least_score: int = 25, drop: int = 27) -> DataFrame:
-    """Chains of each pair, from x-drop extensions of its hits: approximate alignments and the band of diagonals to align."""
+def chains(hits: DataFrame, least_score: int = 25, drop: int = 27) -> DataFrame:
+    """All chains of each pair that reach least_score, from x-drop extensions of its hits: approximate alignments and the band of diagonals to align."""
 
     def chained(frame: pd.DataFrame) -> pd.DataFrame:
         q, t = scores.encode(frame["qseq"].iloc[0]), scores.encode(frame["tseq"].iloc[0])
@@ -106,7 +106,7 @@ def chains(hits: DataFrame, most: int = 4, least_score: int = 25, drop: int = 27
             a, b, n, s, _ = xdrop_ungapped(q, t, int(i), int(j), drop)
             if s > 0:
                 segments.append((a, b, n, s))
-        found = [c for c in chain_segments(segments, lambda a, b, n: overlap_loss(q, t, a, b, n)) if c["score"] >= least_score][:most]
+        found = [c for c in chain_segments(segments, lambda a, b, n: overlap_loss(q, t, a, b, n)) if c["score"] >= least_score]
         rows = [{"qid": frame["qid"].iloc[0], "tid": frame["tid"].iloc[0], "chain": k, **c} for k, c in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
 

@@ -32,6 +32,19 @@ def test_frameshift_alignment(spark):
     assert 4 not in got
 
 
+def test_every_chain_of_a_repeated_passage(spark):
+    rng = random.Random(7)
+    a = protein(rng, 40)
+    t, at = "", []
+    for _ in range(7):
+        t += protein(rng, 25)
+        at.append(len(t))
+        t += a
+    d = spark.createDataFrame([(1, 2, 10, j + 10, a, t) for j in at], "qid long, tid long, i int, j int, qseq string, tseq string")
+    found = chaining.chains(d).collect()
+    assert sorted(r["sbegin"] for r in found if r["score"] > 100) == at and sorted(r["chain"] for r in found) == list(range(len(found)))
+
+
 def test_chaining_joins_over_a_gap(spark):
     rng = random.Random(2)
     a, b = protein(rng, 40), protein(rng, 40)
