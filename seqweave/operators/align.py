@@ -139,9 +139,11 @@ def align_pairs(pairs: DataFrame, gap_open: int = 11, gap_extend: int = 1, bias:
     """HSPs of pairs (.., qseq, tseq): local alignment of each pair, beside the other columns.
 
     max_hsps > 1 aligns again with the subject ranges found so far masked. With margin > 0 and hit columns i and j, only the
-    target within query length + margin of the hit's diagonal is aligned. bias applies composition correction to the query.
+    target within query length + margin of the hit's diagonal is aligned; with columns lo and hi, only the target between
+    them, and the two are not returned. bias applies composition correction to the query.
     """
-    others = [c for c in pairs.columns if c not in ("qseq", "tseq")]
+    ranged = "lo" in pairs.columns and "hi" in pairs.columns
+    others = [c for c in pairs.columns if c not in ("qseq", "tseq", *(("lo", "hi") if ranged else ()))]
     names = [x.split()[0] for x in HSP.split(", ")]
     kinds = [pa.int32()] * 11 + [pa.string()] * 2
 
@@ -157,7 +159,10 @@ def align_pairs(pairs: DataFrame, gap_open: int = 11, gap_extend: int = 1, bias:
                         corrected.clear()
                     corrected[text] = scores.composition_bias(q)
                 lo = 0
-                if margin:
+                if ranged:
+                    lo = batch.column("lo")[r].as_py()
+                    t = t[lo : batch.column("hi")[r].as_py()]
+                elif margin:
                     diagonal = batch.column("j")[r].as_py() - batch.column("i")[r].as_py()
                     lo = max(0, diagonal - margin)
                     t = t[lo : max(lo, diagonal + len(q) + margin)]

@@ -94,19 +94,25 @@ def chain_segments(segments: list[tuple[int, int, int, int]], lost, gap_open: in
     return sorted(out, key=lambda c: -c["score"])
 
 
+def pair_chains(q: np.ndarray, t: np.ndarray, hits: list[tuple[int, int]], least_score: int = 25, drop: int = 27) -> list[dict]:
+    """All chains of one pair that reach least_score, best first, from x-drop extensions of its hits (i, j)."""
+    segments, reached = [], {}
+    for i, j in hits:
+        if any(a <= i < a + n for a, n in reached.get(i - j, ())):
+            continue
+        a, b, n, s, _ = xdrop_ungapped(q, t, i, j, drop)
+        if s > 0:
+            segments.append((a, b, n, s))
+            reached.setdefault(i - j, []).append((a, n))
+    return [c for c in chain_segments(segments, lambda a, b, n: overlap_loss(q, t, a, b, n)) if c["score"] >= least_score]
+
+
 def chains(hits: DataFrame, least_score: int = 25, drop: int = 27) -> DataFrame:
     """All chains of each pair that reach least_score, from x-drop extensions of its hits: approximate alignments and the band of diagonals to align."""
 
     def chained(frame: pd.DataFrame) -> pd.DataFrame:
         q, t = scores.encode(frame["qseq"].iloc[0]), scores.encode(frame["tseq"].iloc[0])
-        segments = []
-        for i, j in zip(frame["i"], frame["j"], strict=True):
-            if any(a <= i < a + n and i - j == a - b for a, b, n, _ in segments):
-                continue
-            a, b, n, s, _ = xdrop_ungapped(q, t, int(i), int(j), drop)
-            if s > 0:
-                segments.append((a, b, n, s))
-        found = [c for c in chain_segments(segments, lambda a, b, n: overlap_loss(q, t, a, b, n)) if c["score"] >= least_score]
+        found = pair_chains(q, t, list(zip(frame["i"].tolist(), frame["j"].tolist(), strict=True)), least_score, drop)
         rows = [{"qid": frame["qid"].iloc[0], "tid": frame["tid"].iloc[0], "chain": k, **c} for k, c in enumerate(found)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
 

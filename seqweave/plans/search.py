@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.functions import scores, shapes
-from seqweave.operators import align, joins, masking, ranking, seeds, translation
+from seqweave.operators import align, chaining, joins, masking, ranking, seeds, translation
+
+#: Cells of dynamic programming up to which target ranges that overlap are aligned as one.
+MOST_CELLS = 1 << 24
 
 
 @dataclass
@@ -69,6 +73,46 @@ def best_hits(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> Data
     return s.groupBy("qid", "tid").agg(F.max_by(F.struct("i", "j", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("_b")).select("qid", "tid", "_b.*")
 
 
+def bands(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """(qid, tid, lo, hi): ranges of the target to align, which together hold the band of every chain of the pair's hits.
+
+    A range reaches over a chain's diagonals by the query's length and the margin; without a margin it is the whole target.
+    """
+    h = hits(queries, targets, cfg).groupBy("qid", "tid").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("_hits"))
+    h = h.join(queries.select(F.col("oid").alias("qid"), F.col("seq").alias("qseq")), "qid").join(targets.select(F.col("oid").alias("tid"), F.col("seq").alias("tseq")), "tid")
+    cut, margin = cfg.ungapped_cut, cfg.margin
+
+    def ranges(q, t, found):
+        found = [(i, j) for i, j in found if align.window_score(q, t, i, j) > cut]
+        if not found or not margin:
+            return [(0, len(t))] if found else []
+        # a hit whose extension scores nothing is in no chain; its own diagonal is aligned all the same
+        ends = {(i - j, i - j) for i, j in found} | {(c["d_min"], c["d_max"]) for c in chaining.pair_chains(q, t, found, 1)}
+        out = []
+        for lo, hi in sorted((max(0, -b - margin), min(len(t), len(q) - a + margin)) for a, b in ends):
+            if out and hi <= out[-1][1]:
+                continue
+            if out and lo <= out[-1][1] and (hi - out[-1][0]) * len(q) <= MOST_CELLS:
+                out[-1] = (out[-1][0], hi)
+            else:
+                out.append((lo, hi))
+        return out
+
+    def banded(batches):
+        for batch in batches:
+            where, lows, highs = [], [], []
+            for r, (qseq, tseq, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("qseq", "tseq", "_hits")), strict=True)):
+                for lo, hi in ranges(scores.encode(qseq), scores.encode(tseq), [(x["i"], x["j"]) for x in found]):
+                    where.append(r)
+                    lows.append(lo)
+                    highs.append(hi)
+            take = pa.array(where, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("qid").take(take), batch.column("tid").take(take), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["qid", "tid", "lo", "hi"])
+
+    kinds = {c: h.schema[c].dataType.simpleString() for c in ("qid", "tid")}
+    return h.select("qid", "tid", "qseq", "tseq", "_hits").mapInArrow(banded, f"qid {kinds['qid']}, tid {kinds['tid']}, lo int, hi int")
+
+
 def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = None) -> DataFrame:
     """HSPs of each query's best targets, ready for the output formats. Inputs: (oid, seq[, id, title])."""
     cfg = cfg or SearchConfig()
@@ -77,8 +121,10 @@ def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = No
     title = lambda df: F.col("title") if "title" in df.columns else name(df)
     q = queries.select(F.col("oid").alias("qid"), name(queries).alias("qseqid"), title(queries).alias("qtitle"), F.col("seq").alias("full_qseq"), F.length("seq").alias("qlen"))
     t = targets.select(F.col("oid").alias("tid"), name(targets).alias("sseqid"), title(targets).alias("stitle"), F.col("seq").alias("full_sseq"), F.length("seq").alias("slen"))
-    pairs = best_hits(queries, targets, cfg).drop("score").join(q, "qid").join(t, "tid").withColumn("qseq", F.col("full_qseq")).withColumn("tseq", F.col("full_sseq"))
-    h = align.align_pairs(pairs, cfg.gap_open, cfg.gap_extend, cfg.bias, cfg.max_hsps, cfg.margin)
+    pairs = bands(queries, targets, cfg).join(q, "qid").join(t, "tid").withColumn("qseq", F.col("full_qseq")).withColumn("tseq", F.col("full_sseq"))
+    h = align.align_pairs(pairs, cfg.gap_open, cfg.gap_extend, cfg.bias, cfg.max_hsps)
+    if cfg.max_hsps > 1:  # ranges too large to be joined may overlap and find one alignment twice
+        h = h.dropDuplicates(["qid", "tid", "qstart", "qend", "sstart", "send"])
     h = ranking.significant(align.with_statistics(h, db, cfg.gap_open, cfg.gap_extend), cfg.max_evalue, cfg.min_bits)
     h = ranking.best_per_pair(ranking.hsp_filters(h, **cfg.filters), cfg.max_hsps)
     if cfg.top is not None:

@@ -36,6 +36,20 @@ def test_search_finds_relatives(world):
     assert got[0]["pident"] == 100 and got[0]["cigar"] == "200M" and got[0]["evalue"] < 1e-80
 
 
+def test_search_aligns_every_hit_of_a_pair(spark):
+    rng = random.Random(18)
+    p = protein(rng, 160)
+    target = protein(rng, 30) + p[:60] + protein(rng, 700) + p + protein(rng, 500) + p[20:140]
+    q = spark.createDataFrame([(0, p)], "oid long, seq string")
+    t = spark.createDataFrame([(0, target)], "oid long, seq string")
+    (best,) = search(q, t).collect()
+    whole = target.index(p)
+    assert (best["qstart"], best["qend"], best["sstart"], best["send"]) == (1, 160, whole + 1, whole + 160)
+    three = search(q, t, SearchConfig(max_hsps=3)).orderBy("hspnum").collect()
+    assert [(r["hspnum"], r["sstart"] // 100) for r in three] == [(1, (whole + 1) // 100), (2, (len(target) - 119) // 100), (3, 0)]
+    assert three[0]["score"] == max(r["score"] for r in exhaustive_search(q, t).collect())
+
+
 def test_exhaustive_agrees(world):
     q, t = world
     cfg = SearchConfig(margin=0)
