@@ -153,9 +153,9 @@ def best_fill(lengths: list[int], counts: list[int], room: int) -> list[int]:
 
 
 def minimum_bin_slack(sizes: np.ndarray, window: int, look: int = 96) -> list[list[int]]:
-    """Bins of indexes of sizes. Each bin is filled as well as the `look` largest fitting and `look` smallest lengths allow.
+    """Bins of indexes of sizes. Each bin is filled as closely to the window as the lengths left allow.
 
-    Every item is packed; the bound on lengths looked at only bounds the table.
+    The `look` largest fitting and `look` smallest lengths are tried first; where they leave slack, all fitting lengths are.
     """
     stock: dict[int, list[int]] = defaultdict(list)
     for i in np.lexsort((np.arange(len(sizes)), -sizes)):
@@ -173,7 +173,11 @@ def minimum_bin_slack(sizes: np.ndarray, window: int, look: int = 96) -> list[li
         if room and lengths:
             fits = int(np.searchsorted(lengths, room, side="right"))
             some = lengths[:fits] if fits <= 2 * look else lengths[:look] + lengths[fits - look : fits]
-            for n, k in zip(some, best_fill(some, [len(stock[n]) for n in some], room), strict=True):
+            taken = best_fill(some, [len(stock[n]) for n in some], room)
+            if len(some) < fits and sum(n * k for n, k in zip(some, taken, strict=True)) < room:
+                some = lengths[:fits]
+                taken = best_fill(some, [len(stock[n]) for n in some], room)
+            for n, k in zip(some, taken, strict=True):
                 if k:
                     items += [stock[n].pop() for _ in range(k)]
                     if not stock[n]:

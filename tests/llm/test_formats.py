@@ -79,6 +79,17 @@ def test_tiff_texts(spark):
     assert got[700]["n_pages"] == 2 and tiff.store_texts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_bins_fill_from_all_lengths():
+    import numpy as np
+
+    from seqweave.llm import packing
+
+    sizes = np.array([600, 10, 200, 390])  # 600 + 10 + 390 fills a window; the one smallest and the one largest do not
+    bins = packing.minimum_bin_slack(np.array([600, 100, 250, 300, 390]), 1000, look=1)
+    assert sorted(bins[0]) == [0, 1, 3] and sorted(i for b in bins for i in b) == list(range(5))
+    assert sorted(packing.minimum_bin_slack(sizes, 1000, look=1)[0]) == [0, 1, 3]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
