@@ -143,7 +143,7 @@ def train(docs: DataFrame, most_rows: int = 4000) -> Model:
                 n.append(c.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "lang", "found", "n"])
 
-    got = sample.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, found binary, n binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("found", "ascending")])
+    got = sample.mapInArrow(K.lean(extract), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, found binary, n binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("found", "ascending")])
     rows = [(np.frombuffer(f.as_buffer(), dtype=np.int32), np.frombuffer(c.as_buffer(), dtype=np.int32)) for f, c in zip(got.column("found"), got.column("n"), strict=True)]
     return fit(rows, got.column("lang").to_pylist())
 
@@ -161,4 +161,4 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     columns = list(dict.fromkeys([*others, "text"]))
-    return docs.select(*columns).mapInArrow(predicted, schema + ", lang_pred string, score double, accepted boolean")
+    return docs.select(*columns).mapInArrow(K.lean(predicted), schema + ", lang_pred string, score double, accepted boolean")

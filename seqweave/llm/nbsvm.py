@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
             found = [f.tobytes() for f in features(text)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "found"])
 
-    got = sample.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
+    got = sample.mapInArrow(K.lean(extract), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
     rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("found")]
     return fit(rows, got.column("y").to_numpy())
 
@@ -164,4 +164,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [s], names=[*others, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(scored, schema + ", score double")
+    return docs.select(*others, "text").mapInArrow(K.lean(scored), schema + ", score double")

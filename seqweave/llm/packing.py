@@ -28,34 +28,36 @@ from . import runtime
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class CachedTokenizer:
-    """Ids of texts by way of their chunks between ASCII white space, each encoded once in a worker process.
+class ChunkTokenizer:
+    """Ids of texts by way of their chunks between ASCII white space, each different chunk encoded once.
 
     Only for tokenizers that drop white space, never look across it, fold case, split letters from other characters and end
     each word with a mark (as word_bpe_49k does): a text's ids are then its chunks' ids in a row, and a chunk of letters
     with ASCII punctuation behind it is its lower-case letters' ids and its punctuation's. Other chunks are encoded as they
-    stand. `by_chunk=False` encodes whole texts.
+    stand. `by_chunk=False` encodes whole texts. What it has learnt lives as long as the object and holds about most_bytes.
     """
 
-    most = 500_000
-    chunk = re.compile(r"[^ \t\n\x0b\x0c\r]+")
     plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, by_chunk: bool = True):
+    def __init__(self, path: str, by_chunk: bool = True, most_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_chunk = Tokenizer.from_file(path), by_chunk
+        self.tokenizer, self.by_chunk, self.most = Tokenizer.from_file(path), by_chunk, most_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.bytes = 0
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         split, letters = {}, set()
         for c in chunks:
             if m := self.plain.fullmatch(c):
@@ -80,52 +82,54 @@ class CachedTokenizer:
                 self.parts.update((word, self.encoded(word)) for word in new)
         for c, (word, tail) in split.items():
             self.known[c] = self.parts[word] + self.parts[tail]
+        self.bytes += sum(200 + 2 * len(c) + len(self.known[c]) for c in chunks)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts in a row, and where each text begins and ends; a null is empty."""
         if not self.by_chunk:
-            return [self.encoded(x) for x in texts]
-        chunks = [self.chunk.findall(x) for x in texts]
-        new = set().union(*chunks).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            self.parts = {"": b""}
-            new = set().union(*chunks)
-        self.learn(new)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-
-
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def shared_tokenizer(path: str) -> CachedTokenizer:
-    """One tokenizer a worker process: tasks that follow each other keep what it has learnt."""
-    if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
-    return _tokenizers[path]
+            each = [np.frombuffer(self.encoded(x or ""), dtype="<u4") for x in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, dtype="<u4"), *each]), np.cumsum([0, *map(len, each)])
+        w = K.Words(texts, hashes=False)
+        ends = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.int32)
+        letters = w.data[~K.SPACE[w.data]]
+        words = pa.StringArray.from_buffers(len(w.start), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
+        chunks = words.dictionary.to_pylist()
+        if self.bytes > self.most:
+            self.forget()
+        self.learn([c for c in chunks if c not in self.known])
+        found = [self.known[c] for c in chunks]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        table, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        which = words.indices.to_numpy()
+        n = size[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return table[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])], upto[w.first]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
-    """One row per piece: whole windows of a document, then its remainder."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """One row per piece: whole windows of a document, then its remainder; `place` counts the pieces of a task."""
 
     def cut(batches):
-        t = shared_tokenizer(tokenizer)
+        t, place = ChunkTokenizer(tokenizer), 0
         for batch in batches:
             text = K.as_strings(batch.column("text"))
             for i, j in K.chunks(text, 2 << 20):
-                out = ([], [], [], [], [])
-                texts = [x or "" for x in text.slice(i, j - i).to_pylist()]
-                for doc_id, ids in zip(batch.column("doc_id").slice(i, j - i).to_pylist(), t.ids(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        part = memoryview(ids)[4 * start : 4 * (start + window)]
-                        for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+                ids, at = t.ids(text.slice(i, j - i))
+                n = np.diff(at) + 1  # with the end id
+                ids = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
+                first = np.cumsum(n) - n
+                parts = -(-n // window)
+                doc = np.repeat(np.arange(j - i), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+                length = np.minimum(window, n[doc] - start)
+                view, a = memoryview(ids).cast("B"), 4 * (first[doc] + start)
+                check = [zlib.crc32(view[x:y]) for x, y in zip(a.tolist(), (a + 4 * length).tolist(), strict=True)]
+                columns = [pa.array(x, pa.int64()) for x in (start, length, check, n[doc], place + np.arange(len(doc)))]
+                place += len(doc)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(doc)), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(K.lean(cut), PIECES + ", place bigint")
 
 
 def best_fill(lengths: list[int], counts: list[int], room: int) -> list[int]:
@@ -187,14 +191,17 @@ def minimum_bin_slack(sizes: np.ndarray, window: int, look: int = 96) -> list[li
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_docs: int = 1024) -> DataFrame:
-    """Pieces with sequence_id and offset; sequence_id = shard number * 2**32 + a number in the shard."""
+    """Pieces with sequence_id and offset; sequence_id = shard number * 2**32 + a number in the shard.
+
+    Shards are dealt by piece and place, so that rows which repeat, or lack an id, spread over all of them.
+    """
     p = runtime.materialize(pieces(docs, tokenizer, window, end_id), "pieces")
     n_docs = p.where("start = 0").count()
     shards = max(1, -(-n_docs // shard_docs))
-    p = p.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(shards)))
+    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "place"), F.lit(shards)))
 
     def packed(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32", "length"], kind="stable", na_position="last").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "start", "ids_crc32", "length", "place"], kind="stable", na_position="last").reset_index(drop=True)
         size = frame["length"].to_numpy()
         sequence, offset = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
         full = np.flatnonzero(size == window)
@@ -207,6 +214,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
                 at += size[i]
         frame["sequence_id"] = (int(key[0]) << 32) + sequence
         frame["offset"] = offset
-        return frame.drop(columns="shard").astype({"doc_id": "Int64"})
+        return frame.drop(columns=["shard", "place"]).astype({"doc_id": "Int64"})
 
     return p.groupBy("shard").applyInPandas(packed, PIECES + ", sequence_id bigint, offset bigint")

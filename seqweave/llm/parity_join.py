@@ -34,7 +34,8 @@ from . import kernel as K
 from . import runtime
 
 U = np.uint64
-PART_BITS = 1024
+#: Bits of a part: so many that only parts with equal shingles agree. Of a part only its odd bits are kept, never the zeros.
+PART_BITS = 1 << 32
 SHORT = 16  # 64-bit words of the sketch that pairs of one key are compared by
 LEAST_BITS = 10  # two to the power of this: bits of the smallest whole sketch
 #: Up to so many rows (two or three numbers each) a list of documents or keys is sent to all executors.
@@ -166,7 +167,7 @@ def sketches(docs: DataFrame, k: Sketcher) -> DataFrame:
                 short = np.frombuffer(b"".join(map(short_sketch, whole)), dtype=np.int64).reshape(-1, SHORT)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(whole, pa.binary()), *(pa.array(np.ascontiguousarray(short[:, c])) for c in range(SHORT))], names=["doc_id", "n", "h1", "h2", "sketch", *(f"f{c}" for c in range(SHORT))])
 
-    return typed(docs).mapInArrow(made, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary" + "".join(f", f{c} bigint" for c in range(SHORT)))
+    return typed(docs).mapInArrow(K.lean(made), "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary" + "".join(f", f{c} bigint" for c in range(SHORT)))
 
 
 def typed(docs: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def join_keys(docs: DataFrame, k: Sketcher) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[i:j], [len(x) for x in keys]).astype(np.int64))], names=["key", "doc_id"])
 
-    return typed(docs).where("doc_id is not null").mapInArrow(made, "key bigint, doc_id bigint")
+    return typed(docs).where("doc_id is not null").mapInArrow(K.lean(made), "key bigint, doc_id bigint")
 
 
 def key_runs(keyed: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def key_runs(keyed: DataFrame) -> DataFrame:
         if held is not None:
             yield rows(*held, held[0][0])
 
-    return ordered.mapInArrow(runs, "key bigint, doc_id bigint, hub bigint, edge boolean")
+    return ordered.mapInArrow(K.lean(runs), "key bigint, doc_id bigint, hub bigint, edge boolean")
 
 
 def near(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +249,7 @@ def near(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(apart * (100 + percent) <= (n + m) * (100 - percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allowed, "a bigint, b bigint")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(K.lean(allowed), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
@@ -262,7 +263,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
     rows = typed(docs).join(sent(wanted), "doc_id", "left_semi")
-    sets = runtime.materialize(rows.mapInArrow(gathered, "doc_id bigint, s binary"), "sets")
+    sets = runtime.materialize(rows.mapInArrow(K.lean(gathered), "doc_id bigint, s binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     percent = k.percent
 
@@ -278,7 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: Sketcher) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return runtime.materialize(both.mapInArrow(tested, "a bigint, b bigint").distinct(), "links")
+    return runtime.materialize(both.mapInArrow(K.lean(tested), "a bigint, b bigint").distinct(), "links")
 
 
 def settled(pairs: DataFrame, copies: DataFrame) -> DataFrame:

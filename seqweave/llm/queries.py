@@ -9,6 +9,7 @@ from . import chat, langid, line_rules, mixing, nbsvm, packing, parity_join, run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    runtime.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

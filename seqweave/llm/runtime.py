@@ -26,9 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let this session's Arrow batches hold at most 8 MB, or one row: by rows alone, batches of long texts fill a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _forget_at_exit(spark, path)

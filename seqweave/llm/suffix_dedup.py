@@ -58,7 +58,7 @@ def minimiser_suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 value = (gram[at] & np.uint64(0xFFFFFF0000000000)) | (key[at] >> np.uint64(24))
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[i:j][doc[at]], pa.int64()), pa.array((at - words.first[doc[at]]).astype(np.int32))], names=["key", "doc_id", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(kept, "key bigint, doc_id bigint, at int")
+    return docs.select("doc_id", "text").mapInArrow(K.lean(kept), "key bigint, doc_id bigint, at int")
 
 
 def neighbour_candidates(suffixes: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def neighbour_candidates(suffixes: DataFrame) -> DataFrame:
         if held is not None:
             yield decide(*held, held[0][0])
 
-    return ordered.mapInArrow(compared, "doc_id bigint, at int")
+    return ordered.mapInArrow(K.lean(compared), "doc_id bigint, at int")
 
 
 def window_hashes(candidates: DataFrame, min_words: int) -> DataFrame:
@@ -125,7 +125,7 @@ def window_hashes(candidates: DataFrame, min_words: int) -> DataFrame:
                     same = [pa.array(np.full(len(start), x[d], dtype=np.int64)) for x in (ids, row, last)]
                     yield pa.RecordBatch.from_arrays([pa.array(whole[a + start].view(np.int64)), *same, pa.array(start.astype(np.int32))], names=["hash", "doc_id", "row", "last", "start"])
 
-    return candidates.select("doc_id", "row", "last", "text", "at").mapInArrow(hashed, "hash bigint, doc_id bigint, row bigint, last bigint, start int")
+    return candidates.select("doc_id", "row", "last", "text", "at").mapInArrow(K.lean(hashed), "hash bigint, doc_id bigint, row bigint, last bigint, start int")
 
 
 def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -210,6 +210,6 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             columns = {c: batch.column(c) for c in others} | {"text": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    out = d.select(*docs.columns, "_spans").mapInArrow(trimmed, docs.schema)
+    out = d.select(*docs.columns, "_spans").mapInArrow(K.lean(trimmed), docs.schema)
     out = out.where(F.col("text").isNull() | (runtime.word_count(F.col("text")) > 0))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernel as K
+
 # Fixed values of the format: tag numbers, and bytes per value of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 284, 317, 322, 323, 324, 325
@@ -296,7 +298,7 @@ def decode(media: DataFrame, column: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(same) for c in others] + columns, names=[*others, *new])
 
     schema = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in others)
-    return media.select(*others, column).mapInArrow(decoded, schema + PAGE)
+    return media.select(*others, column).mapInArrow(K.lean(decoded), schema + PAGE)
 
 
 def store_texts(docs: DataFrame, width: int = 64) -> DataFrame:
@@ -323,4 +325,4 @@ def store_texts(docs: DataFrame, width: int = 64) -> DataFrame:
                 rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), ";".join(features), len(read)))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")]) if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(stored, schema)
+    return docs.select("doc_id", "text").mapInArrow(K.lean(stored), schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from . import runtime
 
 MANIFEST = "path string, shard bigint, number int, records bigint, bytes bigint, sha256 string, first_id bigint, last_id bigint"
@@ -159,7 +160,7 @@ def write(pages: DataFrame, root: str | None = None, shard_bytes: int = 16 << 20
         columns = list(zip(*done, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    manifest = runtime.materialize(stream.mapInArrow(written, MANIFEST), "warc-manifest")
+    manifest = runtime.materialize(stream.mapInArrow(K.lean(written), MANIFEST), "warc-manifest")
     _commit(spark, root, manifest)
     return manifest.withColumn("root", F.lit(root))
 
@@ -230,4 +231,4 @@ def read(manifest: DataFrame) -> DataFrame:
 
     # a number of tasks by the number of files: by their few bytes of manifest, Spark would put all files in one
     files = max(1, min(manifest.count(), 100_000))
-    return manifest.select("path", "root", "sha256").repartition(files, "path").mapInArrow(parsed, RECORD)
+    return manifest.select("path", "root", "sha256").repartition(files, "path").mapInArrow(K.lean(parsed), RECORD)
