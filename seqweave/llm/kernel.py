@@ -24,6 +24,15 @@ R = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return to the system what this process no longer needs: tables of powers, Arrow's pool, the heap's free pages."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(work):
     """work(batches) for mapInArrow; when a task ends, its worker process gives back the memory that it no longer needs."""
 
@@ -31,11 +40,7 @@ def lean(work):
         try:
             yield from work(batches)
         finally:
-            _powers.clear()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
@@ -142,6 +147,23 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first minimum of x[i:i+w] for every full window, by doubling."""
+    lower = lambda a, b: np.where(x[b] < x[a], b, a)
+    span, at = 1, np.arange(len(x))
+    while span * 2 <= w:
+        at = lower(at[:-span], at[span:])
+        span *= 2
+    rest = w - span
+    return lower(at[: len(at) - rest], at[rest:]) if rest else at
+
+
+def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, .. (n[0] of them), then those of at[1], and so on."""
+    upto = np.cumsum(n)
+    return np.repeat(at - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
+
+
 def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
     span, m = 1, x
     while span * 2 <= w:

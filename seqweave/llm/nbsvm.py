@@ -5,7 +5,7 @@ feature has the value of its class log-count ratio; a text's vector has unit len
 by dual coordinate descent in numpy, and Platt's sigmoid on rows left out of the fit turns margins into probabilities.
 
 The fit takes at most `most_rows` labelled rows (those with the smallest md5 of their id), gathered as feature numbers,
-never texts. Scoring reads every whole text in one pass without a shuffle.
+never texts; of an id that repeats with different texts one, of the smallest hash, is learnt from. Scoring reads every whole text in one pass without a shuffle.
 
 Defined results: a null or empty text has no features and scores by the bias alone; unlabelled and null-labelled rows are
 not learnt from; without both classes the score is the share of label 1 (0.5 without labels); repeated rows score alike.
@@ -137,17 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     """labels: (doc_id, label), at most most_rows of them are used. docs: (doc_id, text)."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_rows).withColumnRenamed("doc_id", "_id")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_y").cast("int").alias("y"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_y").cast("int").alias("y"))
 
     def extract(batches):
         for batch in batches:
             text = K.as_strings(batch.column("text"))
-            found = [f.tobytes() for f in features(text)]
+            found = [f.astype(np.uint16).tobytes() for f in features(text)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "found"])
 
     got = sample.mapInArrow(K.lean(extract), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, found binary").toArrow().sort_by([("doc_id", "ascending"), ("found", "ascending")])
-    rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("found")]
-    return fit(rows, got.column("y").to_numpy())
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in got.column("found")]
+    model = fit(rows, got.column("y").to_numpy())
+    del got, rows
+    K.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

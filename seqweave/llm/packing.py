@@ -12,13 +12,13 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +28,34 @@ from . import runtime
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+# Kinds of bytes: OTHER, LETTER an ASCII letter, MARK an ASCII sign other than the apostrophe, BLANK what parts chunks.
+OTHER, LETTER, MARK, BLANK = 0, 1, 2, 3
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[K.SPACE] = BLANK
+KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = LETTER
+KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = MARK
+
+
 class ChunkTokenizer:
-    """Ids of texts by way of their chunks between ASCII white space, each different chunk encoded once.
+    """Ids of texts by way of their chunks between ASCII white space, each different chunk of a block of texts encoded once.
 
     Only for tokenizers that drop white space, never look across it, fold case, split letters from other characters and end
     each word with a mark (as word_bpe_49k does): a text's ids are then its chunks' ids in a row, and a chunk of letters
-    with ASCII punctuation behind it is its lower-case letters' ids and its punctuation's. Other chunks are encoded as they
-    stand. `by_chunk=False` encodes whole texts. What it has learnt lives as long as the object and holds about most_bytes.
+    (ASCII or Latin-1) with ASCII signs behind it is its lower-case letters' ids and its signs'. Other chunks are encoded as
+    they stand. Words are encoded many to a line and cut at the ids that end a word; as a word ends at most once, as many
+    ends as words mean one end each, and otherwise words are encoded one by one. `by_chunk=False` encodes whole texts.
+    At most most_words words and their ids are kept from block to block of a task; forget() drops them.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    most_words = 1_000_000
 
-    def __init__(self, path: str, by_chunk: bool = True, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, by_chunk: bool = True):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_chunk, self.most = Tokenizer.from_file(path), by_chunk, most_bytes
+        self.tokenizer, self.by_chunk = Tokenizer.from_file(path), by_chunk
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
@@ -50,70 +63,101 @@ class ChunkTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.bytes = 0
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: list[str]) -> None:
-        split, letters = {}, set()
-        for c in chunks:
-            if m := self.plain.fullmatch(c):
-                split[c] = word, tail = m[1].lower(), m[2]
-                if word not in self.parts:
-                    letters.add(word)
-                if tail not in self.parts:
-                    self.parts[tail] = self.encoded(tail)
-            else:
-                self.known[c] = self.encoded(c)
-        new = sorted(letters)
-        lines = [" ".join(new[k : k + 200]) for k in range(0, len(new), 200)]
-        if lines:
-            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cut) == len(new):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(new, cut, strict=True):
-                    self.parts[word] = data[at:end]
-                    at = end
-            else:  # a tokenizer without such marks
-                self.parts.update((word, self.encoded(word)) for word in new)
-        for c, (word, tail) in split.items():
-            self.known[c] = self.parts[word] + self.parts[tail]
-        self.bytes += sum(200 + 2 * len(c) + len(self.known[c]) for c in chunks)
+        self.known, self.table, self.size = pa.array([], pa.string()), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        ids = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone, many to a line."""
+        ids, _ = self.each([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)])
+        ends = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self.each(words)
+
+    def kept(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where each word's begin in it and how many they are."""
+        if len(self.known) + len(words) > self.most_words:
+            self.forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        if len(new):
+            ids, size = self.words(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.table, self.size = np.concatenate((self.table, ids)), np.concatenate((self.size, size))
+            place = pc.index_in(words, value_set=self.known)
+        place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.table, (np.cumsum(self.size) - self.size)[place], self.size[place]
+
+    def fresh(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, size = self.each(chunks.to_pylist())
+        return ids, np.cumsum(size) - size, size
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Unsigned 32-bit ids of all texts in a row, and where each text begins and ends; a null is empty."""
         if not self.by_chunk:
-            each = [np.frombuffer(self.encoded(x or ""), dtype="<u4") for x in texts.to_pylist()]
-            return np.concatenate([np.zeros(0, dtype="<u4"), *each]), np.cumsum([0, *map(len, each)])
+            ids, n = self.each([x or "" for x in texts.to_pylist()])
+            return ids, np.concatenate(([0], np.cumsum(n)))
         w = K.Words(texts, hashes=False)
-        ends = np.concatenate(([0], np.cumsum(w.end - w.start))).astype(np.int32)
-        letters = w.data[~K.SPACE[w.data]]
-        words = pa.StringArray.from_buffers(len(w.start), pa.py_buffer(ends), pa.py_buffer(letters)).dictionary_encode()
-        chunks = words.dictionary.to_pylist()
-        if self.bytes > self.most:
-            self.forget()
-        self.learn([c for c in chunks if c not in self.known])
-        found = [self.known[c] for c in chunks]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        table, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
-        which = words.indices.to_numpy()
-        n = size[which]
-        upto = np.concatenate(([0], np.cumsum(n)))
-        return table[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])], upto[w.first]
+        data, start, end = w.data, w.start, w.end
+        kind, lower = KIND[data], K.FOLD_CASE[data]
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1  # second bytes of U+00C0 to U+00FF, letters but for two signs
+        latin = latin[(data[latin] != 0x97) & (data[latin] != 0xB7)]
+        kind[latin] = kind[latin - 1] = LETTER
+        capital = latin[data[latin] < 0x9F]
+        lower[capital] = data[capital] + 0x20
+        chunk_of = lambda byte: np.searchsorted(start, byte, side="right") - 1
+        sign = np.flatnonzero(kind == MARK)
+        plain = kind[start] == LETTER
+        plain[chunk_of(np.flatnonzero(kind == OTHER))] = False
+        behind = sign[(sign + 1 < len(data)) & (kind[np.minimum(sign + 1, len(data) - 1)] == LETTER)]
+        behind = behind[behind + 1 < end[chunk_of(behind)]]  # a letter follows in the same chunk
+        plain[chunk_of(behind)] = False
+        middle = end.copy()
+        which, first = np.unique(chunk_of(sign), return_index=True)
+        middle[which] = sign[first]
+        n, at = np.zeros((2, len(start), 2), dtype=np.int64)
+        tables, before = [], 0
+        for row, column, a, z, encode in ((plain, 0, start, middle, self.kept), (plain, 1, middle, end, self.fresh), (~plain, 0, start, end, self.fresh)):
+            row = np.flatnonzero(row & (a < z))
+            size = z[row] - a[row]
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            if encode == self.kept:
+                inside = kind == LETTER
+                other = np.flatnonzero(~plain)
+                inside[K.spread(start[other], end[other] - start[other])] = False
+                letters = lower[inside]
+            else:
+                letters = data[K.spread(a[row], size)]
+            found = pa.StringArray.from_buffers(len(row), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)).dictionary_encode()
+            ids, first, size = encode(found.dictionary)
+            which = found.indices.to_numpy()
+            n[row, column], at[row, column] = size[which], first[which] + before
+            tables.append(ids)
+            before += len(ids)
+        n, at = n.reshape(-1), at.reshape(-1)
+        return np.concatenate(tables)[K.spread(at, n)], np.concatenate(([0], np.cumsum(n)))[2 * w.first]
+
+
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer a worker process, as each holds its vocabulary; tasks forget the words that they met."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """One row per piece: whole windows of a document, then its remainder; `place` counts the pieces of a task."""
 
     def cut(batches):
-        t, place = ChunkTokenizer(tokenizer), 0
+        t, place = shared_tokenizer(tokenizer), 0
         for batch in batches:
             text = K.as_strings(batch.column("text"))
-            for i, j in K.chunks(text, 2 << 20):
+            for i, j in K.chunks(text, 4 << 20):
                 ids, at = t.ids(text.slice(i, j - i))
                 n = np.diff(at) + 1  # with the end id
                 ids = np.insert(ids, at[1:], end_id).astype("<u4", copy=False)
@@ -127,6 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2)
                 columns = [pa.array(x, pa.int64()) for x in (start, length, check, n[doc], place + np.arange(len(doc)))]
                 place += len(doc)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).take(pa.array(doc)), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
+        t.forget()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(K.lean(cut), PIECES + ", place bigint")

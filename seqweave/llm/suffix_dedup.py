@@ -1,15 +1,16 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes (of words) are kept at minimiser positions only: the k-word gram whose hash is smallest in some run of w grams.
-Equal passages of min_words words keep the same positions, the first of them at most w - 1 words inside, so that at least
-`reach` = min_words - w + 1 words follow it. The kept suffixes are range-sorted by hashes of their first words and each is
-compared with its neighbours; one that shares `reach` words with a neighbour of another document is a candidate. Matches are
-then extended from the candidates to the left and to the right: every window of min_words words around a candidate is
-matched exactly (by a 64-bit hash) against all others, which gives each passage its full length whatever neighbour it had.
+A window of min_words words has one anchor, the minimiser of its first w grams, at most w - 1 words inside, so that at least
+`reach` = min_words - w + 1 words follow it; equal windows have their anchors at the same place. First, suffixes whose next
+`reach` words no other document has are told by a hash and left out. The others are sorted by their words (range
+partitions, so no task has them all) and compared with their neighbours: the common prefix is counted in words. From the
+anchor matches are extended to the left, word by word, and to the right as far as the neighbours' common prefix goes, which
+tells for every window of the anchor which windows in the run of suffixes are equal to it.
 
-Ties in the sort are broken by document and position, so a passage that is everywhere is split over tasks; at a task's
-edges a suffix that has not seen both neighbours counts as a candidate, and extension decides. Exact copies are settled
-first: only the smallest doc_id of equal texts is extended, the others share its passages and their first documents.
+Ties in the sort are broken by document and position, so a passage that is everywhere is split over tasks. A run that a
+task's edge cuts (or that is too long to be held) is settled between tasks: its windows meet by a hash. Exact copies are
+settled first: only the smallest doc_id of equal texts is extended, the others share its passages and their first documents.
 
 Defined results: words are separated by ASCII white space and compared exactly; null and empty texts have no passages; a
 text below min_words words has none; repeats inside one document do not count unless another document has them too; rows
@@ -99,33 +100,169 @@ def neighbour_candidates(suffixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(K.lean(compared), "doc_id bigint, at int")
 
 
-def window_hashes(candidates: DataFrame, min_words: int) -> DataFrame:
-    """(hash, doc_id, row, last, start) of every whole window of min_words words that holds a candidate in its first w words."""
+CONTEXT = "right string, left string, doc_id bigint, row bigint, last bigint, at int, low int, high int"
+
+
+def suffix_contexts(candidates: DataFrame, min_words: int) -> DataFrame:
+    """The candidates that anchor windows: the words from the anchor on, those before it, and how many words (low to high)
+    its windows begin before it. Words are followed by one space each."""
     w = (min_words - GRAM) // 2 + 1
 
-    def hashed(batches):
+    def cut(batches):
         for batch in batches:
             text, found = K.as_strings(batch.column("text")), batch.column("at")
-            ids, row, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row", "last"))
             for i, j in K.chunks(text):
                 words = K.Words(text.slice(i, j - i))
-                if len(words.hash) < min_words:
+                doc = np.repeat(np.arange(j - i), np.diff(words.first))
+                window = np.flatnonzero(np.arange(len(doc)) + min_words <= words.first[1:][doc])
+                if not len(window):
                     continue
-                whole = K.windows_hash(words.hash, min_words)
+                anchor = K.sliding_argmin(K.windows_hash(words.hash, GRAM), w)[window]
+                nominated = np.zeros(len(doc), dtype=bool)
                 for d in range(i, j):
-                    a, b = words.first[d - i], words.first[d - i + 1]
-                    n = b - a - min_words + 1
-                    if n <= 0:
-                        continue
-                    at = found[d].values.to_numpy(zero_copy_only=False)
-                    step = np.zeros(n + w + 1, dtype=np.int32)
-                    np.add.at(step, np.clip(at - w + 1, 0, n), 1)
-                    np.add.at(step, np.clip(at + 1, 0, n), -1)
-                    start = np.flatnonzero(np.cumsum(step[:n]) > 0)
-                    same = [pa.array(np.full(len(start), x[d], dtype=np.int64)) for x in (ids, row, last)]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[a + start].view(np.int64)), *same, pa.array(start.astype(np.int32))], names=["hash", "doc_id", "row", "last", "start"])
+                    nominated[words.first[d - i] + found[d].values.to_numpy(zero_copy_only=False)] = True
+                begin = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                low, high = window[begin], window[np.concatenate((begin[1:], [len(window)])) - 1]  # first and last window
+                a = anchor[begin]
+                low, high, a = (x[nominated[a]] for x in (low, high, a))
+                size = words.end - words.start
+                at = np.concatenate(([0], np.cumsum(size + 1)))
+                flat = np.full(at[-1], 32, dtype=np.uint8)
+                flat[K.spread(at[:-1], size)] = words.data[~K.SPACE[words.data]]
+                pieces = [strings(flat, at[x], at[y]) for x, y in ((a, high + min_words), (low, a))]
+                of = pa.array(i + doc[a])
+                same = [batch.column(c).take(of) for c in ("doc_id", "row", "last")]
+                numbers = [pa.array(x.astype(np.int32)) for x in (a - words.first[doc[a]], a - high, a - low)]
+                yield pa.RecordBatch.from_arrays([*pieces, *same, *numbers], names=[c.split()[0] for c in CONTEXT.split(", ")])
+
+    return candidates.select("doc_id", "row", "last", "text", "at").mapInArrow(K.lean(cut), CONTEXT)
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """data[start:end] of each start and end."""
+    size = end - start
+    at = np.concatenate(([0], np.cumsum(size)))
+    if at[-1] >= 1 << 31:
+        raise ValueError("words of one batch are too long to be compared")
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[K.spread(start, size)]))
+
+
+def word_rows(text: pa.Array, width: int, backwards: bool = False) -> np.ndarray:
+    """Hashes of each text's words in a row of a table, 0 behind the last."""
+    words = K.Words(text)
+    n = np.diff(words.first)
+    table = np.zeros((len(text), width), dtype=np.uint64)
+    place = K.spread(np.zeros(len(n), dtype=np.int64), n)
+    table[np.repeat(np.arange(len(n)), n), np.repeat(n, n) - 1 - place if backwards else place] = words.hash
+    return table
+
+
+def prefix_hashes(table: np.ndarray) -> np.ndarray:
+    """Hash of the first 0, 1, 2 .. words of each row."""
+    out = np.zeros((table.shape[1] + 1, len(table)), dtype=np.uint64)
+    for k in range(table.shape[1]):
+        out[k + 1] = K.mix(out[k] * np.uint64(K.R) + table[:, k])
+    return out
+
+
+SETTLED = "hash bigint, doc_id bigint, row bigint, last bigint, start int, owner bigint, owner_start int, owner_row bigint, apart boolean"
+
+
+class Run:
+    """Sorted suffixes with their common prefixes, in words, with the suffix before."""
+
+    def __init__(self, rows: pa.RecordBatch, min_words: int):
+        self.rows, self.min_words = rows, min_words
+        self.right = word_rows(K.as_strings(rows.column("right")), min_words)
+        same = (self.right[1:] == self.right[:-1]) & (self.right[1:] != 0)
+        self.common = np.concatenate(([0], np.where(same.all(axis=1), min_words, same.argmin(axis=1)))) if rows.num_rows else np.zeros(0, dtype=np.int64)
+
+    def windows(self, a: int, b: int):
+        """(suffix, words before the anchor, hash of these) of every window of suffixes a to b."""
+        rows = self.rows.slice(a, b - a)
+        low, high = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("low", "high"))
+        n = high - low + 1
+        which, before = np.repeat(np.arange(b - a), n), K.spread(low, n)
+        left = prefix_hashes(word_rows(K.as_strings(rows.column("left")), int(high.max(initial=0)), backwards=True))
+        return rows, which, before, left[before, which]
+
+    def columns(self, rows, which, before, picked):
+        number = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which[picked]] for c in ("doc_id", "row", "last", "at")]
+        return [pa.array(x) for x in number[:3]] + [pa.array((number[3] - before[picked]).astype(np.int32))]
+
+    def opened(self, a: int, b: int) -> pa.RecordBatch:
+        """Windows of a run that other tasks may share, by their hash."""
+        rows, which, before, left = self.windows(a, b)
+        right = prefix_hashes(self.right[a:b])[self.min_words - before, which]
+        whole = K.mix(right ^ (left * np.uint64(0x9FB21C651E98DF25)) ^ before.astype(np.uint64))
+        none = [pa.nulls(len(which), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())]
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *self.columns(rows, which, before, slice(None)), *none], names=[c.split()[0] for c in SETTLED.split(", ")])
+
+    def settled(self, a: int, b: int) -> pa.RecordBatch:
+        """Windows of whole runs that another document has too, and the first document that has them."""
+        rows, which, before, left = self.windows(a, b)
+        # suffixes stand in one block for a number of words if each shares so many with the one before
+        block = np.cumsum(self.common[a:b] < np.arange(self.min_words + 1)[:, None], axis=1)[self.min_words - before, which]
+        order = np.lexsort((left, block, before))
+        x = np.stack((left.view(np.int64), block, before))[:, order]
+        start = np.flatnonzero(np.concatenate(([True], (x[:, 1:] != x[:, :-1]).any(axis=0)))) if len(order) else np.zeros(0, dtype=np.int64)
+        doc, row, last, at = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row", "last", "at"))
+        place = np.lexsort((row, at, doc))
+        rank = np.empty(len(place), dtype=np.int64)
+        rank[place] = np.arange(len(place))
+        count = np.diff(np.concatenate((start, [len(order)])))
+        reduced = lambda f, v: np.repeat(f.reduceat(v[which[order]], start), count) if len(start) else np.zeros(0, dtype=np.int64)
+        own = place[reduced(np.minimum, rank)] if len(start) else np.zeros(0, dtype=np.int64)
+        kept = (np.repeat(count, count) > 1) & (doc[own] < reduced(np.maximum, last))
+        apart = doc[own] < reduced(np.maximum, doc)
+        picked, own = order[kept], own[kept]
+        owners = [pa.array(doc[own]), pa.array((at[own] - before[picked]).astype(np.int32)), pa.array(row[own]), pa.array(apart[kept])]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(picked), pa.int64()), *self.columns(rows, which, before, picked), *owners], names=[c.split()[0] for c in SETTLED.split(", ")])
+
+
+def extended(contexts: DataFrame, min_words: int, hold: int = 1 << 15) -> DataFrame:
+    """Suffixes in sorted order, compared with their neighbours: windows settled in a task, and windows of cut runs by hash."""
+    reach = min_words - (min_words - GRAM) // 2
+    n = contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    order = ["right", "doc_id", "row", "at"]
+    ordered = contexts.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
+
+    def compared(batches):
+        held, edge = None, True  # suffixes not told yet; whether the first of them may belong to a run of the task before
+        for batch in batches:
+            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if held.num_rows < 4096:
+                continue
+            run = Run(held, min_words)
+            fresh = np.flatnonzero(run.common < reach)  # where runs begin
+            head = 0
+            if edge:
+                head = int(fresh[1]) if len(fresh) > 1 else held.num_rows
+                if head == held.num_rows and head < hold:
+                    continue
+                yield run.opened(0, head)
+            if head == held.num_rows:
+                held = None
+                continue
+            edge, tail = False, int(fresh[-1])
+            if tail > head:
+                yield run.settled(head, tail)
+            held = held.slice(tail)
+            if held.num_rows >= hold:
+                yield run.opened(tail, tail + held.num_rows)
+                held, edge = None, True
+        if held is not None:
+            run = Run(held, min_words)
+            fresh = [*np.flatnonzero(run.common < reach).tolist(), held.num_rows]
+            head, tail = fresh[1] if edge else 0, fresh[-2]
+            if head:
+                yield run.opened(0, head)
+            if tail > head:
+                yield run.settled(head, tail)
+            if held.num_rows > max(head, tail):
+                yield run.opened(max(head, tail), held.num_rows)
 
-    return candidates.select("doc_id", "row", "last", "text", "at").mapInArrow(K.lean(hashed), "hash bigint, doc_id bigint, row bigint, last bigint, start int")
+    return ordered.mapInArrow(K.lean(compared), SETTLED)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -145,13 +282,16 @@ def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, D
     found = found.join(copies.groupBy("doc_id").agg(F.collect_list(F.struct("row", "rep", "last")).alias("_copies")), "doc_id", "left")
     rows = docs.join(found, "doc_id").withColumn("_copy", F.try_element_at(F.filter("_copies", lambda c: c["row"] == F.col("row")), F.lit(1)))
     rows = rows.where(F.col("_copy").isNull() | (F.col("doc_id") == F.col("_copy.rep"))).withColumn("last", F.coalesce("_copy.last", "doc_id"))
-    windows = runtime.materialize(window_hashes(rows, min_words), "windows")
+    told = runtime.materialize(extended(suffix_contexts(rows, min_words), min_words), "windows")
+    hit = ("doc_id", "row", "start", "owner", "owner_start", "owner_row", "apart")
+    windows = told.where(F.col("hash").isNotNull()).select("hash", "doc_id", "row", "last", "start")
     place = F.struct("doc_id", "start", "row")
     # a window that only one text has needs no match, even if that text stands for copies: they are reported whole
     shared = windows.groupBy("hash").agg(F.min(place).alias("_own"), F.max("doc_id").alias("_most"), F.max("last").alias("_last"), F.count("*").alias("_n")).where((F.col("_own.doc_id") < F.col("_last")) & (F.col("_n") > 1))
     # written first: the join then deals both sides itself, and a hash that very many documents have can be split over tasks
     shared = runtime.materialize(shared.select("hash", "_own", (F.col("_own.doc_id") < F.col("_most")).alias("apart")), "shared")
-    hits = windows.join(shared, "hash").select("doc_id", "row", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"), F.col("_own.row").alias("owner_row"), "apart")
+    met = windows.join(shared, "hash").select("doc_id", "row", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"), F.col("_own.row").alias("owner_row"), "apart")
+    hits = told.where(F.col("hash").isNull()).select(*hit).union(met)
     return hits, copies
 
 
