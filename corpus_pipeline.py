@@ -12,10 +12,16 @@ from seqweave.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with confidence; the others go."""
-    columns = docs.columns
-    told = langid.predict(docs, langid.train(docs), keep_text=True)
-    return told.where("accepted").select(*columns)
+    """Documents whose language is told with confidence (langid.predict's `accepted`); the others go.
+
+    Rows with a null text or without a letter go; null ids, repeated rows and columns of any name are kept as they are; an
+    empty table stays empty.
+    """
+    runtime.small_batches(spark)
+    names = docs.columns
+    own = ["text" if c == "text" else f"_{k}" for k, c in enumerate(names)]  # no clash with the columns of predict
+    told = langid.predict(docs.toDF(*own), langid.train(docs), keep_text=True)
+    return told.where("accepted").select(*own).toDF(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
