@@ -5,12 +5,14 @@ message's text) and `regenerate` (empties a message; deltas follow). Events of a
 final text; messages stand where they began; the conversation is rendered with turn marks. Control strings inside texts
 are escaped reversibly, so the rendered string can be parsed back exactly.
 
-Folding groups by message first, then by conversation, so that a conversation's long event stream is reduced before its
-messages meet. What meets in one task is one conversation's final text, which is one output value.
-
-Defined results: a null text is empty; a null role is empty; a null conversation id is a conversation of its own; equal
-sequence numbers are ordered by role, then text; an unknown event counts as a message; events of a message that has not
-begun begin it; an empty log gives no conversation; other columns are ignored.
+Folding groups by message first, then by conversation, so that a long event stream is reduced before messages meet. What meets in one task is one conversation's final text, which is one output value.
+
+Defined results: a null text is empty; a null role is empty; a null conversation id is a conversation of its own; a null
+message id is a message of its own for each event; an unknown or null event counts as a message; events of a message that
+has not begun begin it; of one message, events that are equal in every column are one event that was delivered again, and
+of equal sequence numbers deltas come last, then by role and text (so a delta with its reset's number follows the reset);
+messages that begin at equal sequence numbers are ordered by role, then text; an empty log gives no conversation; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +42,33 @@ def unescape_role(role: Column) -> Column:
 
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text): final messages of a log (conv_id, seq, role, text[, event, message_id])."""
-    if "event" not in events.columns:
-        return events.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    e = events.select("conv_id", "seq", "message_id", F.coalesce("role", F.lit("")).alias("role"), F.when(F.col("event") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("event", F.lit("message")).alias("event"))
-    reset = F.max(F.when(F.col("event") != "delta", F.col("seq")))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "event")))
-    m = e.groupBy("conv_id", "message_id").agg(F.min("seq").alias("seq"), F.min_by("role", F.struct("seq", "role")).alias("role"), reset.alias("_reset"), parts.alias("_parts"))
-    live = F.filter("_parts", lambda p: F.col("_reset").isNull() | (p["seq"] >= F.col("_reset")))
-    return m.select("conv_id", "seq", "role", F.array_join(F.transform(live, lambda p: p["text"]), "").alias("text"))
+    given = set(events.columns)
+    event = F.coalesce("event", F.lit("message")) if "event" in given else F.lit("message")
+    message = F.col("message_id") if "message_id" in given else F.lit(None).cast("long")
+    text = F.when(event == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    e = events.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (event == "delta").alias("delta"), message.alias("message_id"))
+    e = e.withColumn("_own", F.when(F.col("message_id").isNull(), F.monotonically_increasing_id()))
+    parts = F.array_sort(F.collect_set(F.struct("seq", "delta", "role", "text")))
+    m = e.groupBy("conv_id", "message_id", "_own").agg(parts.alias("_parts"))
+    resets = F.filter(F.transform("_parts", lambda p, i: F.when(~p["delta"], i)), lambda i: i.isNotNull())
+    live = F.slice("_parts", F.coalesce(F.array_max(resets), F.lit(0)) + 1, F.size("_parts"))
+    first = F.element_at("_parts", 1)
+    return m.select("conv_id", first["seq"].alias("seq"), first["role"].alias("role"), F.array_join(F.transform(live, lambda p: p["text"]), "").alias("text"))
+
+
+def events_of(messages: DataFrame) -> DataFrame:
+    """A log of (conv_id, seq, role, text) rows as it may have come: messages of `assistant` are begun, broken off after half
+    of their text, regenerated and streamed in two deltas; others are sent in half and edited to their whole text. Each row
+    is a message of its own, also where rows repeat."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    m = messages.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("_text"), F.row_number().over(order).cast("long").alias("message_id"))
+    half = (F.length("_text") / 2).cast("int")
+    front, rest = F.substring("_text", F.lit(1), half), F.substring("_text", half + 1, F.length("_text"))
+    said = lambda k, event, text: F.struct((F.col("message_id") * 8 + k).alias("seq"), F.lit(event).alias("event"), text.alias("text"))
+    streamed = F.array(said(0, "message", F.lit("")), said(1, "delta", front), said(2, "regenerate", F.lit("")), said(3, "delta", front), said(4, "delta", rest))
+    edited = F.array(said(0, "message", front), said(1, "edit", F.col("_text")))
+    e = m.select("conv_id", "role", "message_id", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("_e"))
+    return e.select("conv_id", "message_id", "role", "_e.seq", "_e.event", "_e.text")
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:

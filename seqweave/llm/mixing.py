@@ -8,7 +8,7 @@ Highest quotients need no list of all quotients: the seats of a party lie betwee
 totals enclose the house, so two candidates a party are ranked, whatever the size of the house.
 
 Defined results: a null source is a source of its own, ordered last; a null or wordless text has size 0 and takes 0; rows
-that repeat are rows of their own; an empty table gives an empty result; other columns are left alone.
+that repeat are rows of their own; rows without an id are dealt by their text; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -54,33 +54,35 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, share: float
     return s.select("source", "source_size", "weight", F.least((F.col("source_size") * most_epochs).cast("double"), F.col("weight") * F.col("_level")).alias("target"))
 
 
-def seeded(doc_id: Column, seed: int, what: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(f"{seed}{what}"), doc_id.cast("string")))
+def seeded(mark: Column, seed: int, what: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(f"{seed}{what}"), mark))
 
 
-def mix(docs: DataFrame, seed: int = 17, block: int = 16, shard_words: int = 1 << 18, most_shards: int = 4096, most_epochs: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, block: int = 16, shard_words: int = 1 << 18, most_epochs: int = 3) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, epochs, part): words taken of each row of docs.
 
     taken = epochs * size + part: whole passes over the document and the words taken from its front in the last pass.
-    A shard holds about shard_words words; only a source above most_shards * shard_words gets larger ones.
+    A shard holds about shard_words words, however large its source.
     """
     spark = docs.sparkSession
-    sizes = runtime.materialize(docs.select("doc_id", "source", runtime.word_count(F.col("text")).alias("size")), "mix-sizes")
+    # what a document's place hangs on: its id, or the text of one without
+    mark = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("mark")
+    sizes = runtime.materialize(docs.select("doc_id", "source", runtime.word_count(F.col("text")).alias("size"), mark), "mix-sizes")
     sources = source_targets(sizes, most_epochs=most_epochs)
     everyone = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("_house", F.floor(F.sum("target").over(everyone) / block + 0.5).cast("long"))
     sources = sainte_lague(sources, [], ["source"], "target", "_house").drop("_house").withColumnRenamed("won", "source_blocks")
-    sources = sources.withColumn("n_shards", F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int"))
+    sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     sources = runtime.materialize(sources, "mix-sources").withColumnRenamed("source", "_s")  # one row a source
     in_shard = sizes.join(sources.select("_s", "n_shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    number = F.conv(F.substring(seeded(F.col("doc_id"), seed, "shard"), 1, 8), 16, 10).cast("long")
-    in_shard = in_shard.withColumn("shard", F.coalesce(F.pmod(number, F.col("n_shards")), F.lit(0)).cast("int")).drop("n_shards")
+    number = F.conv(F.substring(seeded(F.col("mark"), seed, "shard"), 1, 12), 16, 10).cast("long")
+    in_shard = in_shard.withColumn("shard", F.pmod(number, F.col("n_shards"))).drop("n_shards")
     shards = in_shard.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "n_shards", "weight")
     shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "source_blocks")
     quota = F.least(F.col("won") * block, F.col("shard_size") * most_epochs)
     shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "source_size", "target", quota.alias("quota"))
-    order = Window.partitionBy("source", "shard").orderBy(seeded(F.col("doc_id"), seed, "order"), F.col("doc_id").asc_nulls_last(), "size")
+    order = Window.partitionBy("source", "shard").orderBy(seeded(F.col("mark"), seed, "order"), F.col("doc_id").asc_nulls_last(), "size")
     placed = in_shard.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
     epochs = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.greatest(F.col("shard_size"), F.lit(1)))).otherwise(0).cast("long")
@@ -96,7 +98,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Texts keep their own white space; a partial row ends after its last word taken. A document that the mix takes nothing
     of has no row. Rows that share a doc_id get the same passes, the most that any of them got.
     """
-    taken = mix(docs, **options)
+    return runtime.aside(docs, ("doc_id", "text", "source", "n_chars"), lambda d: _mixed(d, mix(d, **options)))
+
+
+def _mixed(docs: DataFrame, taken: DataFrame) -> DataFrame:
     taken = taken.groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size")).withColumnRenamed("doc_id", "_id")
     rows = docs.join(taken.where("_size > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     whole = F.array_repeat(F.col("_size"), F.col("_epochs").cast("int"))

@@ -50,7 +50,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
-    rendered = chat.render(chat.fold(log.union(odd)))
+    rendered = chat.render(chat.fold(chat.events_of(log.union(odd))))
     turns = F.array_join(F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     n = F.size(chat.parse(F.col("formatted"))).cast("long")
     masked = chat.masked_text(F.col("formatted"), F.col("loss"))
@@ -78,25 +78,26 @@ QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lines, op4_suffixes
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _SQL1 = rf"""
-WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS mark FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s GROUP BY source),
 lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY source_size * 3 / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM src),
 tg AS (SELECT source, source_size, CAST(least(3.0 * source_size, w * max(level) OVER ()) AS DOUBLE) AS target FROM lev),
 hs AS (SELECT CAST(floor(sum(target) / 16 + 0.5) AS BIGINT) AS house FROM tg),
 q1 AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS r FROM tg, hs, unnest(range(1, house + 1)) AS u(k) WHERE target > 0),
 won AS (SELECT tg.source, count(q1.r) AS blocks FROM tg LEFT JOIN (SELECT q1.* FROM q1, hs WHERE r <= house) q1 ON tg.source IS NOT DISTINCT FROM q1.source GROUP BY tg.source),
-d AS (SELECT s.*, tg.source_size, tg.target, won.blocks, CAST('0x' || substr(md5('17shard:' || doc_id), 1, 8) AS BIGINT) % CAST(least(4096, greatest(1, ceil(tg.source_size / 262144.0))) AS BIGINT) AS shard FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source JOIN won ON s.source IS NOT DISTINCT FROM won.source),
+d AS (SELECT s.*, tg.source_size, tg.target, won.blocks, CAST('0x' || substr(md5('17shard:' || mark), 1, 12) AS BIGINT) % CAST(greatest(1, ceil(tg.source_size / 262144.0)) AS BIGINT) AS shard FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source JOIN won ON s.source IS NOT DISTINCT FROM won.source),
 sh AS (SELECT source, shard, sum(size) AS shard_size, any_value(blocks) AS blocks FROM d GROUP BY source, shard),
 q2 AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS r FROM sh, unnest(range(1, blocks + 1)) AS u(k) WHERE shard_size > 0),
 quo AS (SELECT sh.source, sh.shard, sh.shard_size, least(16 * count(q2.r), 3 * sh.shard_size) AS quota FROM sh LEFT JOIN (SELECT * FROM q2 WHERE r <= blocks) q2 ON sh.source IS NOT DISTINCT FROM q2.source AND sh.shard = q2.shard GROUP BY sh.source, sh.shard, sh.shard_size),
-pl AS (SELECT d.*, quo.shard_size, quo.quota, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY md5('17order:' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM d JOIN quo ON d.source IS NOT DISTINCT FROM quo.source AND d.shard = quo.shard),
+pl AS (SELECT d.*, quo.shard_size, quo.quota, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY md5('17order:' || mark), doc_id, size ROWS UNBOUNDED PRECEDING) AS e FROM d JOIN quo ON d.source IS NOT DISTINCT FROM quo.source AND d.shard = quo.shard),
 ep AS (SELECT *, CASE WHEN shard_size > 0 THEN CAST(quota AS BIGINT) // CAST(shard_size AS BIGINT) ELSE 0 END AS n FROM pl)
 SELECT doc_id, source, size, source_size, target, CAST(n * size + CASE WHEN n < 3 THEN greatest(0, least(e, quota - n * shard_size) - (e - size)) ELSE 0 END AS BIGINT) AS taken FROM ep"""
 
 _SOLID = r"length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))"
-_FAILS = rf"""(length(x) - length(replace(x, '|', '')) >= 2
-OR (length(x) - length(regexp_replace(x, '[#*$%&<>]', '', 'g'))) * 100 > {_SOLID} * 5
-OR ((length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g'))) * 100 > {_SOLID} * 40 AND {_SOLID} >= 20)
+_FAILS = rf"""(len(regexp_extract_all(x, '[{line_rules.SEPARATORS}]')) >= 2
+OR len(regexp_extract_all(x, '[#*$%&<>]')) * 100 > {_SOLID} * 5
+OR (len(regexp_extract_all(x, '\p{{Lu}}')) * 100 > {_SOLID} * 40 AND {_SOLID} >= 20)
+OR length(regexp_replace(regexp_replace(x, '{line_rules.LINK}', '', 'g'), '[\x20\x09-\x0D]', '', 'g')) * 100 < {_SOLID} * 50
 OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) BETWEEN 4 AND 14 AND NOT regexp_matches(x, '[.!?:;…。！？»”"'')\]][\x20\x09-\x0D]*$'))
 OR regexp_matches(lower(x), '{line_rules.BOILERPLATE}'))"""
 
@@ -106,7 +107,7 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
 c AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS k FROM r WHERE n > 1),
 rep AS (SELECT doc_id, sum(k) AS n FROM c GROUP BY doc_id),
-b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, list_sum(list_transform(list_filter(ls, lambda x: NOT {_FAILS}), lambda x: {_SOLID})) AS cc FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, list_sum(list_transform(list_filter(list_distinct(ls), lambda x: NOT {_FAILS}), lambda x: {_SOLID})) AS cc FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM b)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND coalesce(cc, 0) * 100 >= word_chars * 50 AS kept, CAST(coalesce(cc, 0) AS BIGINT) AS clean_chars FROM f"""
 

@@ -16,11 +16,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; a temporary one only where the session names none (tests)."""
+    """Folder that all executors share; a temporary one only where the session names none and runs on this machine (tests)."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="seqweave-")
     return _own_dir
@@ -56,6 +58,13 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(gone)
 
 
+def aside(docs: DataFrame, known: tuple[str, ...], work) -> DataFrame:
+    """work(docs) of a step that returns the columns of docs; all but the known ones stand under names of their own meanwhile,
+    so that none clashes with a working column."""
+    names = docs.columns
+    return work(docs.toDF(*(c if c in known else f"c{k}" for k, c in enumerate(names)))).toDF(*names)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -323,6 +323,10 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     Later exact copies of a text of min_words words or more go as a whole.
     """
+    return runtime.aside(docs, ("doc_id", "text", "n_chars"), lambda d: _without(d, min_words))
+
+
+def _without(docs: DataFrame, min_words: int) -> DataFrame:
     hits, copies = repeated_windows(docs, min_words)
     later = hits.where(F.col("apart") & ((F.col("owner") != F.col("doc_id")) | (F.col("owner_start") != F.col("start")) | (F.col("owner_row") != F.col("row"))))
     later = later.select("doc_id", "row", "start", (F.col("start") + min_words).alias("end"), "owner")

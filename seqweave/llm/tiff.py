@@ -4,7 +4,8 @@ Read: both byte orders, 8-bit samples (1 to 4 a pixel, chunky), strips or tiles,
 (8, 32946) and PackBits (32773), predictors 1 and 2. Write: the same, grey or chunky samples.
 
 Defined results: null or empty media, or bytes that are no TIFF, give one row with page null and an error; a damaged page
-gives a row with its error and no pixels; other columns are carried along under their own names.
+gives a row with its error and no pixels; other columns are carried along under their own names, but for those
+named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame
 
 from . import kernel as K
 
+#: No compression read here makes more bytes of one (a deflate stream 1,032, an LZW code of 12 bits 4,096).
+MOST_RATIO = 4096
+
 # Fixed values of the format: tag numbers, and bytes per value of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 284, 317, 322, 323, 324, 325
@@ -191,9 +195,14 @@ class Reader:
             raise ValueError(f"predictor {predictor}")
         tiled = TILE_AT in tags
         block_w, block_h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height) or 1)
+        where, sizes = tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES]
+        if not block_w or not block_h or -(-width // block_w) * -(-height // block_h) != len(where):
+            raise ValueError("strips or tiles do not fit the size")
+        if max(width, block_w) * max(height, block_h) * samples > MOST_RATIO * (sum(sizes) + 64) * (len(where) if tiled else 1):
+            raise ValueError("the size is beyond what the stored bytes can hold")
         image = np.zeros((height, width, samples), dtype=np.uint8)
         across = -(-width // block_w)
-        for k, (at, n) in enumerate(zip(tags[TILE_AT if tiled else STRIP_AT], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+        for k, (at, n) in enumerate(zip(where, sizes, strict=True)):
             y, x = k // across * block_h, k % across * block_w
             rows = block_h if tiled else min(block_h, height - y)
             block = np.frombuffer(unpack(self.data[at : at + n], compression, rows * block_w * samples), dtype=np.uint8).reshape(rows, block_w, samples)
@@ -274,9 +283,9 @@ def read_pages(data: bytes | None):
                 return
             try:
                 yield page, reader.pixels(tags), tags, None
-            except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError) as e:
+            except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError, MemoryError, OverflowError) as e:
                 yield page, None, tags, str(e)
-    except (ValueError, struct.error) as e:
+    except (ValueError, struct.error, MemoryError, OverflowError) as e:
         yield None, None, {}, str(e)
 
 

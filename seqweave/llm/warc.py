@@ -1,13 +1,13 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards of consecutive page ids (equal widths of id cut where the payload bytes reach the shard size),
-range-sorted inside each shard, and streamed to gzip files, one member per record, that roll at a compressed size. Headers
+Records are dealt to shards of consecutive page ids (cut where the payload bytes of ranges of ids reach the shard size), one
+partition each, range-sorted inside each shard, and streamed to gzip files, one member per record, that roll at a compressed size. Headers
 and digests are made anew from the payload. Files are written under a temporary name and renamed; the manifest table, one
 row per file, is the commit: a file that no manifest row names does not exist for readers, so lost or repeated tasks leave
 no trace. The same input gives the same bytes, whatever the cluster.
 
 Payloads of at least min_revisit bytes that are equal share one response record, that of the largest page_id; the others
-become revisit records. Streaming keeps one record in memory.
+become revisit records. Streaming keeps an Arrow batch of records in memory.
 
 Defined results: null html is an empty payload; a null url is empty; a null page_id sorts first and never stands for
 others unless all are null; rows that repeat a page_id and payload are records of their own, all responses if theirs is
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import runtime
 
+#: Ranges of page ids that hold about as many pages each; 257 numbers reach the driver.
+RANGES = 256
 MANIFEST = "path string, shard bigint, number int, records bigint, bytes bigint, sha256 string, first_id bigint, last_id bigint"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,18 +121,35 @@ def write(pages: DataFrame, root: str | None = None, shard_bytes: int = 16 << 20
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     meta = runtime.materialize(p.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("digest")), "warc-meta")
-    low, high, total = meta.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    low, width = low or 0, max(1, (high or 0) - (low or 0) + 1)
-    n_buckets = max(1024, 8 * -(-(total or 0) // shard_bytes))
-    bucket = lambda c: F.coalesce(F.floor((c - low).cast("double") / width * n_buckets), F.lit(0)).cast("long")
+    total, bounds = meta.agg(F.sum("payload_bytes"), F.percentile_approx("page_id", [k / RANGES for k in range(RANGES + 1)], 20 * RANGES)).first()
+    # a bucket is a part of a range: ranges hold about as many pages each, whatever the ids, and their parts are equally wide
+    bounds = sorted({float(x) for x in bounds or [0]})
+    parts = max(8, -(-8 * (total or 0) // shard_bytes // RANGES))
+    edges = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")  # one literal once it is folded
+
+    def bucket(c):
+        x = c.cast("double")
+        number = F.greatest(F.lit(1), F.least(F.lit(max(1, len(bounds) - 1)), F.size(F.filter(edges, lambda b: b <= x))))
+
+        def part(k):
+            a, z = F.get(edges, k - 1), F.coalesce(F.get(edges, k), F.get(edges, k - 1))
+            of = F.when(z > a, F.floor((x - a) / (z - a) * parts)).otherwise(0)
+            return k * (1 << 20) + F.greatest(F.lit(0), F.least(F.lit((1 << 20) - 1), of))
+
+        return F.coalesce(runtime.let(number, part), F.lit(0)).cast("long")
+
     weighed = meta.groupBy(bucket(F.col("page_id")).alias("bucket")).agg((F.sum("payload_bytes") + 500 * F.count("*")).alias("w"))
-    before = F.coalesce(F.sum("w").over(Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = runtime.materialize(weighed.select("bucket", F.floor(before / shard_bytes).cast("long").alias("shard")), "warc-shards")
+    weighed = weighed.withColumn("range", F.shiftright("bucket", 20))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)  # the sums of ranges first, a row each, then of a range's parts
+    ranges = weighed.groupBy("range").agg(F.sum("w").alias("_w")).select("range", F.coalesce(F.sum("_w").over(before.orderBy("range")), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.coalesce(F.sum("w").over(before.partitionBy("range").orderBy("bucket")), F.lit(0))
+    shards = weighed.join(F.broadcast(ranges), "range").select("bucket", F.floor(place / shard_bytes).cast("int").alias("shard"))
+    shards = runtime.materialize(shards, "warc-shards")
     n_shards = (shards.agg(F.max("shard")).first()[0] or 0) + 1
     none = F.lit(None)
     records = p.select(bucket(F.col("page_id")).alias("bucket"), "page_id", F.lit(1).alias("kind"), F.sha1("payload").alias("digest"), none.cast("long").alias("refers_to"), "url", "payload")
     notes = revisits(meta, min_revisit).select(bucket(F.col("page_id")).alias("bucket"), "page_id", F.lit(0).alias("kind"), "digest", "refers_to", none.cast("string").alias("url"), none.cast("binary").alias("payload"))
-    stream = records.union(notes).join(shards, "bucket").repartition(int(n_shards), "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    stream = records.union(notes).join(shards, "bucket").repartitionById(int(n_shards), F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
 
     def written(batches):
         from pyarrow import fs
