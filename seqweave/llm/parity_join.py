@@ -11,7 +11,9 @@ both documents have more empty parts than that; only such documents emit their e
 Documents with equal sets are settled by one hash group and only one of them is joined. Keys are range-sorted, so that a key
 shared by very many documents is split over tasks; in each run the first document is the hub, and hub pairs are verified
 exactly. Documents of a key that hub pairs left in different components are then compared pair by pair, which is what makes
-the links complete: pairs inside one component need no test, as only components are returned.
+the links complete: pairs inside one component need no test, as only components are returned. The pigeonhole leaves near pairs
+more than one common key, as many as spare parts that are not empty; so before that step each document drops that many of its
+most frequent open keys (a prefix filter), and groups that only a frequent passage holds together fall apart.
 
 Defined results: words are separated by ASCII white space and A-Z is lower-cased; fewer words than n make one shingle; no
 word, or a null text, makes an empty set, linked with nothing; rows that repeat a doc_id are one document with the links of
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.sources.files import number_rows
@@ -36,8 +38,8 @@ from . import runtime
 U = np.uint64
 #: Bits of a part: so many that only parts with equal shingles agree. Of a part only its odd bits are kept, never the zeros.
 PART_BITS = 1 << 32
-SHORT = 16  # 64-bit words of the sketch that pairs of one key are compared by
-LEAST_BITS = 10  # two to the power of this: bits of the smallest whole sketch
+SHORT = 32  # 64-bit words of the sketch that pairs of one key are compared by
+LEAST_BITS = 11  # two to the power of this: bits of the smallest whole sketch
 #: Up to so many rows (two or three numbers each) a list of documents or keys is sent to all executors.
 MOST_SENT = 1_000_000
 
@@ -58,13 +60,14 @@ def most_difference(high: int, percent: int) -> int:
 
 
 def spare_parts(d: int, low: int) -> int:
-    """More parts than a set of `low` elements is likely to leave empty: the mean and three deviations."""
+    """More parts than a set of `low` elements is likely to leave empty (the mean and three deviations), and half of d at least:
+    spare parts that are not empty are common keys of near pairs, and as many of the most frequent keys need not be compared."""
     spare = 1
     for _ in range(20):
         parts = d + 1 + spare
         empty = parts * math.exp(-low / parts)
         spare = 1 + math.ceil(empty + 3 * math.sqrt(empty))
-    return spare
+    return max(spare, -(-d // 2))
 
 
 class Sketcher:
@@ -88,7 +91,8 @@ class Sketcher:
                 else:
                     yield np.zeros(0, dtype=np.uint64)
 
-    def band_keys(self, s: np.ndarray, band: int) -> np.ndarray:
+    def band_keys(self, s: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        """Keys of a set in a band, and how many of them any partner that is near enough shares beyond the first."""
         d = most_difference(int(self.low[band + 1]) - 1, self.percent)
         if d == 0:
             parts, spare = 1, 0
@@ -105,20 +109,21 @@ class Sketcher:
         number = part[start]
         full = value != 0
         value, number = value[full], number[full]
+        free = max(0, spare - (parts - len(value)))
         if parts - len(value) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), number)
             value, number = np.concatenate((value, np.zeros(len(empty), dtype=np.uint64))), np.concatenate((number, empty))
-        return K.mix(value ^ K.mix(number * U(4096) + U(band + 1)))
+        return K.mix(value ^ K.mix(number * U(4096) + U(band + 1))), free
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a set in its own band and, if a larger partner can lie there, in the next one."""
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set in its own band and, if a larger partner can lie there, in the next one; and 2 * free + 0 or 1 (next)."""
         if not len(s):
-            return s
+            return s, np.zeros(0, dtype=np.int32)
         band = int(np.searchsorted(self.low, len(s), side="right")) - 1
         out = [self.band_keys(s, band)]
         if len(s) * 100 >= int(self.low[band + 1]) * self.percent:
             out.append(self.band_keys(s, band + 1))
-        return np.concatenate(out)
+        return np.concatenate([x for x, _ in out]), np.concatenate([np.full(len(x), 2 * free + k, dtype=np.int32) for k, (x, free) in enumerate(out)])
 
 
 def folded_sketch(s: np.ndarray) -> bytes:
@@ -175,7 +180,7 @@ def typed(docs: DataFrame) -> DataFrame:
 
 
 def join_keys(docs: DataFrame, k: Sketcher) -> DataFrame:
-    """(key, doc_id): join keys of every document that has a set. They are made from the texts each time they are read:
+    """(key, doc_id, tag): join keys of every document that has a set. They are made from the texts each time they are read:
     that costs a pass over the texts and saves a table as large as the input."""
 
     def made(batches):
@@ -184,15 +189,16 @@ def join_keys(docs: DataFrame, k: Sketcher) -> DataFrame:
             for i, j in K.chunks(text):
                 keys = [k.keys(s) for s in k.sets(text.slice(i, j - i))]
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids[i:j], [len(x) for x in keys]).astype(np.int64))], names=["key", "doc_id"])
+                    columns = np.concatenate([x for x, _ in keys]).view(np.int64), np.repeat(ids[i:j], [len(x) for x, _ in keys]).astype(np.int64), np.concatenate([x for _, x in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "doc_id", "tag"])
 
-    return typed(docs).where("doc_id is not null").mapInArrow(K.lean(made), "key bigint, doc_id bigint")
+    return typed(docs).where("doc_id is not null").mapInArrow(K.lean(made), "key bigint, doc_id bigint, tag int")
 
 
 def key_runs(keyed: DataFrame) -> DataFrame:
-    """(key, doc_id, hub, size) of documents in runs of equal keys, in sorted order; hub is the first of the run.
+    """(key, doc_id, tag, hub, edge) of documents in runs of equal keys, in sorted order; hub is the first of the run.
 
-    A run that a task's edge cuts has a hub on each side; a row with doc_id = hub and size 0 tells of it.
+    A run that a task's edge cuts has a hub on each side; `edge` tells of it.
     """
     n = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = keyed.repartitionByRange(int(n), "key", "doc_id").sortWithinPartitions("key", "doc_id")
@@ -200,7 +206,7 @@ def key_runs(keyed: DataFrame) -> DataFrame:
     def runs(batches):
         first, held, hub_before = None, None, None
 
-        def rows(key, doc, edge):
+        def rows(key, doc, tag, edge):
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((start, [len(key)])))
             hub = np.repeat(doc[start], size)
@@ -209,29 +215,29 @@ def key_runs(keyed: DataFrame) -> DataFrame:
             sizes = np.repeat(size, size)
             at_edge = (key == edge) | (key == first)
             out = (sizes > 1) | at_edge
-            return pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out]), pa.array(hub[out]), pa.array(at_edge[out])], names=["key", "doc_id", "hub", "edge"])
+            return pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out]), pa.array(tag[out]), pa.array(hub[out]), pa.array(at_edge[out])], names=["key", "doc_id", "tag", "hub", "edge"])
 
         for batch in batches:
-            key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id"))
+            key, doc, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "tag"))
             if not len(key):
                 continue
             if first is None:
                 first = key[0]
             if held is not None:
-                key, doc = np.concatenate((held[0], key)), np.concatenate((held[1], doc))
+                key, doc, tag = (np.concatenate(x) for x in zip(held, (key, doc, tag), strict=True))
             tail = int(np.searchsorted(key, key[-1], side="left"))
             if len(key) - tail > 1 << 20:  # a long run need not be held; its rows are known to share a key
-                yield rows(key, doc, key[-1])
+                yield rows(key, doc, tag, key[-1])
                 hub = hub_before[1] if hub_before is not None and hub_before[0] == key[-1] else doc[tail]
                 hub_before, held = (key[-1], hub), None
                 continue
             if tail:
-                yield rows(key[:tail], doc[:tail], None)
-            held = (key[tail:], doc[tail:])
+                yield rows(key[:tail], doc[:tail], tag[:tail], None)
+            held = (key[tail:], doc[tail:], tag[tail:])
         if held is not None:
             yield rows(*held, held[0][0])
 
-    return ordered.mapInArrow(K.lean(runs), "key bigint, doc_id bigint, hub bigint, edge boolean")
+    return ordered.mapInArrow(K.lean(runs), "key bigint, doc_id bigint, tag int, hub bigint, edge boolean")
 
 
 def near(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
@@ -372,11 +378,16 @@ def residual_links(runs: DataFrame, tested: DataFrame, found: DataFrame, copies:
     # documents that are not alone: (doc_id, rep, comp)
     placed = copies.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = runtime.materialize(placed.union(found.select("node", "node", "component")), "placed")
-    r = runs.select("key", "doc_id").join(sent(placed), "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
-    open_keys = r.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2").select("key")
+    r = runs.select("key", "doc_id", "tag").join(sent(placed), "doc_id", "left").select("key", "tag", F.coalesce("rep", "doc_id").alias("doc_id"), F.coalesce("comp", "doc_id").alias("comp"))
+    r = r.distinct()
+    open_keys = r.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x < _y and _n > 2").select("key", "_n")
     open_keys = runtime.materialize(open_keys, "open-keys")
+    # near pairs share 1 + free keys at least, and pairs that no test has compared share none but open ones: so each document
+    # does without its `free` most frequent, and by the same order of keys in all documents such a pair still shares one
+    rank = F.row_number().over(Window.partitionBy("doc_id", "tag").orderBy(F.col("_n").desc(), "key"))
+    r = r.join(sent(open_keys), "key").withColumn("_rank", rank).where(F.col("_rank") > F.shiftright("tag", 1)).select("key", "doc_id", "comp")
     bits = [f"f{c}" for c in range(SHORT)]
-    r = r.join(sent(open_keys), "key", "left_semi").distinct().join(whole.select("doc_id", "n", *bits), "doc_id")
+    r = r.join(whole.select("doc_id", "n", *bits), "doc_id")
     r = runtime.materialize(r, "open")
     side = lambda x: r.select("key", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("comp", "n", *bits)))
     left, right = side("a"), side("b")

@@ -8,8 +8,9 @@ partitions, so no task has them all) and compared with their neighbours: the com
 anchor matches are extended to the left, word by word, and to the right as far as the neighbours' common prefix goes, which
 tells for every window of the anchor which windows in the run of suffixes are equal to it.
 
-Ties in the sort are broken by document and position, so a passage that is everywhere is split over tasks. A run that a
-task's edge cuts (or that is too long to be held) is settled between tasks: its windows meet by a hash. Exact copies are
+Ties in the sort are broken by document and position, so a passage that is everywhere is split over tasks. Windows that
+another suffix has too, and all windows of a run that a task's edge cuts (or that is too long to be held), then meet by a
+hash of their words, which gives the first document of each, across tasks. Exact copies are
 settled first: only the smallest doc_id of equal texts is extended, the others share its passages and their first documents.
 
 Defined results: words are separated by ASCII white space and compared exactly; null and empty texts have no passages; a
@@ -165,7 +166,7 @@ def prefix_hashes(table: np.ndarray) -> np.ndarray:
     return out
 
 
-SETTLED = "hash bigint, doc_id bigint, row bigint, last bigint, start int, owner bigint, owner_start int, owner_row bigint, apart boolean"
+WINDOW = "hash bigint, doc_id bigint, row bigint, last bigint, start int"
 
 
 class Run:
@@ -186,42 +187,26 @@ class Run:
         left = prefix_hashes(word_rows(K.as_strings(rows.column("left")), int(high.max(initial=0)), backwards=True))
         return rows, which, before, left[before, which]
 
-    def columns(self, rows, which, before, picked):
-        number = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which[picked]] for c in ("doc_id", "row", "last", "at")]
-        return [pa.array(x) for x in number[:3]] + [pa.array((number[3] - before[picked]).astype(np.int32))]
-
-    def opened(self, a: int, b: int) -> pa.RecordBatch:
-        """Windows of a run that other tasks may share, by their hash."""
+    def batch(self, a: int, b: int, whole_runs: bool) -> pa.RecordBatch:
+        """Windows of suffixes a to b by a hash of their words: all, or if the runs are whole those that other suffixes have too."""
         rows, which, before, left = self.windows(a, b)
+        if whole_runs:
+            # suffixes stand in one block for a number of words if each shares so many with the one before
+            block = np.cumsum(self.common[a:b] < np.arange(self.min_words + 1)[:, None], axis=1)[self.min_words - before, which]
+            order = np.lexsort((left, block, before))
+            x = np.stack((left.view(np.int64), block, before))[:, order]
+            same = (x[:, 1:] == x[:, :-1]).all(axis=0)
+            one = np.zeros(1, dtype=bool)
+            kept = order[np.concatenate((one, same)) | np.concatenate((same, one))] if len(order) else order
+            which, before, left = which[kept], before[kept], left[kept]
         right = prefix_hashes(self.right[a:b])[self.min_words - before, which]
         whole = K.mix(right ^ (left * np.uint64(0x9FB21C651E98DF25)) ^ before.astype(np.uint64))
-        none = [pa.nulls(len(which), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())]
-        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), *self.columns(rows, which, before, slice(None)), *none], names=[c.split()[0] for c in SETTLED.split(", ")])
-
-    def settled(self, a: int, b: int) -> pa.RecordBatch:
-        """Windows of whole runs that another document has too, and the first document that has them."""
-        rows, which, before, left = self.windows(a, b)
-        # suffixes stand in one block for a number of words if each shares so many with the one before
-        block = np.cumsum(self.common[a:b] < np.arange(self.min_words + 1)[:, None], axis=1)[self.min_words - before, which]
-        order = np.lexsort((left, block, before))
-        x = np.stack((left.view(np.int64), block, before))[:, order]
-        start = np.flatnonzero(np.concatenate(([True], (x[:, 1:] != x[:, :-1]).any(axis=0)))) if len(order) else np.zeros(0, dtype=np.int64)
-        doc, row, last, at = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row", "last", "at"))
-        place = np.lexsort((row, at, doc))
-        rank = np.empty(len(place), dtype=np.int64)
-        rank[place] = np.arange(len(place))
-        count = np.diff(np.concatenate((start, [len(order)])))
-        reduced = lambda f, v: np.repeat(f.reduceat(v[which[order]], start), count) if len(start) else np.zeros(0, dtype=np.int64)
-        own = place[reduced(np.minimum, rank)] if len(start) else np.zeros(0, dtype=np.int64)
-        kept = (np.repeat(count, count) > 1) & (doc[own] < reduced(np.maximum, last))
-        apart = doc[own] < reduced(np.maximum, doc)
-        picked, own = order[kept], own[kept]
-        owners = [pa.array(doc[own]), pa.array((at[own] - before[picked]).astype(np.int32)), pa.array(row[own]), pa.array(apart[kept])]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(picked), pa.int64()), *self.columns(rows, which, before, picked), *owners], names=[c.split()[0] for c in SETTLED.split(", ")])
+        doc, row, last, at = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[which] for c in ("doc_id", "row", "last", "at"))
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(doc), pa.array(row), pa.array(last), pa.array((at - before).astype(np.int32))], names=[c.split()[0] for c in WINDOW.split(", ")])
 
 
 def extended(contexts: DataFrame, min_words: int, hold: int = 1 << 15) -> DataFrame:
-    """Suffixes in sorted order, compared with their neighbours: windows settled in a task, and windows of cut runs by hash."""
+    """Suffixes in sorted order, compared with their neighbours: the windows that another suffix has too, or may have in a run that is cut."""
     reach = min_words - (min_words - GRAM) // 2
     n = contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")
     order = ["right", "doc_id", "row", "at"]
@@ -240,29 +225,29 @@ def extended(contexts: DataFrame, min_words: int, hold: int = 1 << 15) -> DataFr
                 head = int(fresh[1]) if len(fresh) > 1 else held.num_rows
                 if head == held.num_rows and head < hold:
                     continue
-                yield run.opened(0, head)
+                yield run.batch(0, head, False)
             if head == held.num_rows:
                 held = None
                 continue
             edge, tail = False, int(fresh[-1])
             if tail > head:
-                yield run.settled(head, tail)
+                yield run.batch(head, tail, True)
             held = held.slice(tail)
             if held.num_rows >= hold:
-                yield run.opened(tail, tail + held.num_rows)
+                yield run.batch(tail, tail + held.num_rows, False)
                 held, edge = None, True
         if held is not None:
             run = Run(held, min_words)
             fresh = [*np.flatnonzero(run.common < reach).tolist(), held.num_rows]
             head, tail = fresh[1] if edge else 0, fresh[-2]
             if head:
-                yield run.opened(0, head)
+                yield run.batch(0, head, False)
             if tail > head:
-                yield run.settled(head, tail)
+                yield run.batch(head, tail, True)
             if held.num_rows > max(head, tail):
-                yield run.opened(max(head, tail), held.num_rows)
+                yield run.batch(max(head, tail), held.num_rows, False)
 
-    return ordered.mapInArrow(K.lean(compared), SETTLED)
+    return ordered.mapInArrow(K.lean(compared), WINDOW)
 
 
 def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -282,16 +267,13 @@ def repeated_windows(docs: DataFrame, min_words: int = 50) -> tuple[DataFrame, D
     found = found.join(copies.groupBy("doc_id").agg(F.collect_list(F.struct("row", "rep", "last")).alias("_copies")), "doc_id", "left")
     rows = docs.join(found, "doc_id").withColumn("_copy", F.try_element_at(F.filter("_copies", lambda c: c["row"] == F.col("row")), F.lit(1)))
     rows = rows.where(F.col("_copy").isNull() | (F.col("doc_id") == F.col("_copy.rep"))).withColumn("last", F.coalesce("_copy.last", "doc_id"))
-    told = runtime.materialize(extended(suffix_contexts(rows, min_words), min_words), "windows")
-    hit = ("doc_id", "row", "start", "owner", "owner_start", "owner_row", "apart")
-    windows = told.where(F.col("hash").isNotNull()).select("hash", "doc_id", "row", "last", "start")
+    windows = runtime.materialize(extended(suffix_contexts(rows, min_words), min_words), "windows")
     place = F.struct("doc_id", "start", "row")
     # a window that only one text has needs no match, even if that text stands for copies: they are reported whole
     shared = windows.groupBy("hash").agg(F.min(place).alias("_own"), F.max("doc_id").alias("_most"), F.max("last").alias("_last"), F.count("*").alias("_n")).where((F.col("_own.doc_id") < F.col("_last")) & (F.col("_n") > 1))
     # written first: the join then deals both sides itself, and a hash that very many documents have can be split over tasks
     shared = runtime.materialize(shared.select("hash", "_own", (F.col("_own.doc_id") < F.col("_most")).alias("apart")), "shared")
-    met = windows.join(shared, "hash").select("doc_id", "row", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"), F.col("_own.row").alias("owner_row"), "apart")
-    hits = told.where(F.col("hash").isNull()).select(*hit).union(met)
+    hits = windows.join(shared, "hash").select("doc_id", "row", "start", F.col("_own.doc_id").alias("owner"), F.col("_own.start").alias("owner_start"), F.col("_own.row").alias("owner_row"), "apart")
     return hits, copies
 
 
