@@ -20,9 +20,9 @@ def self_join(seeds: DataFrame) -> DataFrame:
     return seed_join(seeds, seeds).where("qid < tid")
 
 
-def with_length_ratio(hits: DataFrame, lengths: DataFrame, least: float) -> DataFrame:
-    """Hits whose sequences have lengths in a ratio of at least `least`, both ways."""
-    ql, tl = lengths.select(F.col("oid").alias("qid"), F.col("len").alias("qlen")), lengths.select(F.col("oid").alias("tid"), F.col("len").alias("tlen"))
+def with_length_ratio(hits: DataFrame, lengths: DataFrame, least: float, target_lengths: DataFrame | None = None) -> DataFrame:
+    """Hits whose sequences have lengths in a ratio of at least `least`, both ways; target_lengths if targets are other sequences."""
+    ql, tl = lengths.select(F.col("oid").alias("qid"), F.col("len").alias("qlen")), (target_lengths or lengths).select(F.col("oid").alias("tid"), F.col("len").alias("tlen"))
     return hits.join(ql, "qid").join(tl, "tid").where(F.least("qlen", "tlen") >= least * F.greatest("qlen", "tlen"))
 
 

@@ -1,43 +1,66 @@
 """Seed extraction: the join keys of a search.
 
-Long sequences are cut into overlapping chunks before positions are exploded, so taking a window costs a chunk's length and
-not the sequence's, and one sequence's seeds spread over tasks.
+Seeds of all shapes are gathered in one pass over Arrow batches of letters: a window's seed is the bytes at the shape's
+1-positions, taken for a block of positions at once, and invalid windows never become rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions import alphabet, shapes
 
-CHUNK = 256
+#: Positions whose seeds are gathered at once.
+BLOCK = 1 << 16
+
+
+def seed_rows(seqs: DataFrame, codes: list[str], seq: str, keep: tuple[str, ...], without: str) -> DataFrame:
+    """(shape, seed, keep.., pos): letters at the 1-positions of every window of every shape, but windows with a letter of
+    `without` there. Sequences are ASCII; null ones have no windows."""
+    bad = np.zeros(256, dtype=bool)
+    bad[list(without.encode())] = True
+    at_ones = [(len(code), np.array([i for i, c in enumerate(code) if c == "1"])) for code in codes]
+    names = ["shape", "seed", *keep, "pos"]
+
+    def gathered(batches):
+        for batch in batches:
+            text = batch.column("_s").fill_null("")
+            at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            if not len(text) or at[-1] == at[0]:
+                continue
+            data = np.frombuffer(text.buffers()[2], dtype=np.uint8)
+            for block in range(int(at[0]), int(at[-1]), BLOCK):
+                place = np.arange(block, min(block + BLOCK, int(at[-1])))
+                row = np.searchsorted(at, place, side="right") - 1
+                for shape, (span, ones) in enumerate(at_ones):
+                    whole = place + span <= at[row + 1]
+                    start, of = place[whole], row[whole]
+                    letters = data[start[:, None] + ones]
+                    good = ~bad[letters].any(axis=1)
+                    start, of, letters = start[good], of[good], letters[good]
+                    ends = pa.py_buffer(np.arange(0, letters.size + 1, len(ones), dtype=np.int32))
+                    seed = pa.StringArray.from_buffers(len(start), ends, pa.py_buffer(np.ascontiguousarray(letters)))
+                    take = pa.array(of)
+                    same = [batch.column(c).take(take) for c in keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), shape, dtype=np.int32)), seed, *same, pa.array((start - at[of]).astype(np.int32))], names=names)
+
+    kinds = ", ".join(f"`{c}` {seqs.schema[c].dataType.simpleString()}" for c in keep)
+    return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(gathered, f"shape int, seed string, {kinds}, pos int")
 
 
 def windows(seqs: DataFrame, span: int, seq: str = "seq", keep: tuple[str, ...] = ("oid",)) -> DataFrame:
     """(keep.., pos, win): every window of `span` letters; pos counts from 0."""
-    n = F.length(seq)
-    cut = seqs.where(n >= span).select(*keep, F.col(seq).alias("_s"), F.explode(F.sequence(F.lit(0), n - span, F.lit(CHUNK))).alias("_at"))
-    cut = cut.select(*keep, "_at", F.substring(F.col("_s"), F.col("_at") + 1, F.lit(CHUNK + span - 1)).alias("_c"))
-    cut = cut.select(*keep, "_at", "_c", F.explode(F.sequence(F.lit(0), F.length("_c") - span)).alias("_i"))
-    return cut.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), F.substring(F.col("_c"), F.col("_i") + 1, F.lit(span)).alias("win"))
-
-
-def shape_key(win: Column, shape: str) -> Column:
-    return F.concat(*[F.substring(win, i + 1, n) for i, n in shapes.runs(shape)])
+    return seed_rows(seqs, ["1" * span], seq, keep, "").select(*keep, "pos", F.col("seed").alias("win"))
 
 
 def spaced_seeds(seqs: DataFrame, codes: list[str], reduction: str = "murphy10", keep: tuple[str, ...] = ("oid",)) -> DataFrame:
     """(shape, seed, keep.., pos): seeds of every shape; a window with X, a stop or a delimiter at a 1-position has none."""
-    reduced = seqs.select(*keep, alphabet.reduce_residues(F.col("seq"), reduction).alias("seq"))
-    out = None
-    for k, code in enumerate(codes):
-        s = windows(reduced, len(code), keep=keep).select(F.lit(k).alias("shape"), shape_key(F.col("win"), code).alias("seed"), *keep, "pos")
-        s = s.where(~F.col("seed").rlike("[X*_]"))
-        out = s if out is None else out.union(s)
-    return out
+    return seed_rows(seqs.select(*keep, alphabet.reduce_residues(F.col("seq"), reduction).alias("_r")), codes, "_r", keep, "X*_")
 
 
 def contiguous_seeds(seqs: DataFrame, k: int, reduction: str = "murphy10", keep: tuple[str, ...] = ("oid",)) -> DataFrame:
@@ -93,7 +116,7 @@ def sketch(seeds: DataFrame, n: int) -> DataFrame:
 
 def kmer_counts(seqs: DataFrame, k: int, n: int) -> DataFrame:
     """The n most frequent k-mers of unreduced letters, without masked ones."""
-    c = windows(seqs, k).where(~F.col("win").rlike("[X*_]")).groupBy(F.col("win").alias("kmer")).agg(F.count("*").alias("n"))
+    c = seed_rows(seqs, ["1" * k], "seq", ("oid",), "X*_").groupBy(F.col("seed").alias("kmer")).agg(F.count("*").alias("n"))
     return c.orderBy(F.col("n").desc(), "kmer").limit(n)
 
 

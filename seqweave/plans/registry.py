@@ -176,9 +176,9 @@ def seed_join_star(spark, d):
     return joins.star_join(q.withColumn("len", F.lit(0)), t.join(documents(spark, d).select("oid", "len"), "oid"), "target").select("shape", "seed", "qid", "i", "tid", "j")
 
 
-@query(f"WITH {Q}, {sql_seeds('qs', 'q')} SELECT a.shape, a.seed, a.oid AS qid, a.pos AS i, b.oid AS tid, b.pos AS j FROM qs a JOIN qs b ON a.shape = b.shape AND a.seed = b.seed JOIN q x ON x.oid = a.oid JOIN q y ON y.oid = b.oid WHERE a.oid < b.oid AND least(length(x.seq), length(y.seq)) >= 0.8 * greatest(length(x.seq), length(y.seq))")
+@query(f"WITH {PAIRED} SELECT shape, seed, qid, i, tid, j FROM j JOIN q x ON x.oid = qid JOIN t y ON y.oid = tid WHERE least(length(x.seq), length(y.seq)) >= 0.3 * greatest(length(x.seq), length(y.seq))")
 def seed_join_len_ratio(spark, d):
-    h = joins.with_length_ratio(joins.self_join(query_seeds(spark, d)), passages(spark, d), 0.8)
+    h = joins.with_length_ratio(pairs(spark, d), passages(spark, d), 0.3, documents(spark, d))
     return h.select("shape", "seed", "qid", "i", "tid", "j")
 
 
@@ -372,10 +372,15 @@ def global_rank(spark, d):
     return ranking.global_rank(joins.group_hits(hits(spark, d)).select("qid", "tid", F.col("best").alias("score")), 5)
 
 
-@query(f"WITH {Q} SELECT oid, CAST(f AS INTEGER) AS frame, CAST(length(seq) AS INTEGER) AS source_len FROM (SELECT oid, translate(regexp_replace(seq, '[^ACGTN]', 'N', 'g'), '', '') AS seq, unnest(range(0, 6)) AS f FROM q) WHERE f < 6")
+_CODONS = alphabet.GENETIC_CODES[1]
+_BASE = lambda k: f"(strpos('TCAG', substr(s, 3 * i + {k}, 1)) - 1)"
+_FREE = " ".join(f"WHEN '{a}{b}N' THEN '{_CODONS[16 * x + 4 * y]}'" for x, a in enumerate("TCAG") for y, b in enumerate("TCAG") if len(set(_CODONS[16 * x + 4 * y : 16 * x + 4 * y + 4])) == 1)
+
+
+@query(f"WITH {Q}, n AS (SELECT oid, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') || 'GCNTANNNN' AS dna FROM q), f AS (SELECT oid, CAST(unnest(range(0, 6)) AS INTEGER) AS frame, dna FROM n), b AS (SELECT oid, frame, CAST(length(dna) AS INTEGER) AS source_len, substr(CASE WHEN frame < 3 THEN dna ELSE reverse(translate(dna, 'ACGT', 'TGCA')) END, frame % 3 + 1) AS s FROM f) SELECT oid, frame, source_len, array_to_string(list_transform(range(0, length(s) // 3), lambda i: CASE substr(s, CAST(3 * i + 1 AS INTEGER), 3) {_FREE} ELSE CASE WHEN contains(substr(s, CAST(3 * i + 1 AS INTEGER), 3), 'N') THEN 'X' ELSE substr('{_CODONS}', CAST(16 * {_BASE(1)} + 4 * {_BASE(2)} + {_BASE(3)} + 1 AS INTEGER), 1) END END), '') AS seq FROM b".replace("substr(s, 3 * i + 1, 1)", "substr(s, CAST(3 * i + 1 AS INTEGER), 1)").replace("substr(s, 3 * i + 2, 1)", "substr(s, CAST(3 * i + 2 AS INTEGER), 1)").replace("substr(s, 3 * i + 3, 1)", "substr(s, CAST(3 * i + 3 AS INTEGER), 1)"))
 def six_frames(spark, d):
-    dna = passages(spark, d).select("oid", F.regexp_replace("seq", "[^ACGTN]", "N").alias("seq"))
-    return translation.six_frames(dna).select("oid", "frame", "source_len")
+    dna = as_dna(passages(spark, d))
+    return translation.six_frames(dna.withColumn("seq", F.concat("seq", F.lit("GCNTANNNN")))).select("oid", "frame", "source_len", "seq")
 
 
 # --- beyond SQL: rows only, held against brute force in tests
@@ -522,8 +527,9 @@ def search_taxon(spark, d):
     return sinks.taxon(h, tax, tree(spark, d))
 
 
-@query(f"WITH {T}, {sql_windows('w', 't', 8)} SELECT count(DISTINCT win) > 0 AS some FROM w")
+@query(f"WITH {T}, {sql_windows('w', 't', 8)} SELECT count(DISTINCT win) AS n, TRUE AS near FROM w")
 def approx_distinct(spark, d):
-    """Distinct 8-mers by a HyperLogLog sketch; only that there are some is compared."""
+    """Distinct 8-mers by a HyperLogLog sketch against the exact number: the sketch is within three deviations of 2 %."""
     w = seeds.windows(documents(spark, d), 8)
-    return w.agg((F.approx_count_distinct("win", 0.02) > 0).alias("some"))
+    both = w.agg(F.approx_count_distinct("win", 0.02).alias("sketch"), F.countDistinct("win").alias("n"))
+    return both.select("n", (F.abs(F.col("sketch") - F.col("n")) <= 0.06 * F.col("n")).alias("near"))

@@ -40,6 +40,8 @@ FIELDS = {
 
 UNALIGNED_NUMBERS = {"qstart", "qend", "sstart", "send", "length", "mismatch", "gapopen", "pident", "evalue", "bitscore", "score", "slen", "nident", "positive", "gaps"}
 
+NUMBERS = UNALIGNED_NUMBERS | {"qlen", "mismatch", "ppos", "qcovhsp", "scovhsp", "approx_pident", "corrected_bitscore", "normalized_bitscore", "normalized_bitscore_query", "normalized_nident", "qframe", "rank"}
+
 
 def field(name: str) -> Column:
     return FIELDS[name]() if name in FIELDS else F.col(name)
@@ -68,16 +70,45 @@ def with_unaligned(hsps: DataFrame, queries: DataFrame, fields: list[str] | None
 
 
 def json_flat(hsps: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    return project(hsps, fields).select(F.to_json(F.struct(*(fields or DEFAULT_FIELDS))).alias("value"))
+    """One JSON object a line; fields that are numbers are bare, others are strings."""
+    fields = fields or DEFAULT_FIELDS
+
+    def member(f: str) -> Column:
+        quoted = F.regexp_extract(F.to_json(F.struct(F.col(f).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+        number = F.col(f).rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$") if f in NUMBERS else F.lit(False)
+        return F.concat(F.lit(f'"{f}":'), F.when(number, F.col(f)).otherwise(quoted))
+
+    present = [F.when(F.col(f).isNotNull(), member(f)) for f in fields]  # a null has no member
+    return project(hsps, fields).select(F.concat(F.lit("{"), F.concat_ws(",", *present), F.lit("}")).alias("value"))
 
 
 def paf(hsps: DataFrame) -> DataFrame:
     return hsps.select(F.concat_ws("\t", "qseqid", "qlen", F.col("qstart") - 1, F.col("qend") - 1, F.lit("+"), "sseqid", "slen", F.col("sstart") - 1, F.col("send") - 1, "nident", "length", F.lit("255"), F.format_string("AS:i:%d", F.floor("bitscore").cast("long")), F.format_string("ZR:i:%d", "score"), F.concat(F.lit("ZE:f:"), render_evalue(F.col("evalue")))).alias("value"))
 
 
+def mismatch_runs(btop: Column) -> Column:
+    """The MD string of a transcript: runs of identities, letters of the target where it differs, ^ before deleted ones."""
+    tokens = F.regexp_extract_all(btop, F.lit(r"[0-9]+|[A-Z*_-]{2}"), F.lit(0))
+    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("deleted"))
+
+    def step(acc: Column, tok: Column) -> Column:
+        q, t = F.substring(tok, 1, 1), F.substring(tok, 2, 1)
+        told = F.concat(acc["s"], acc["n"].cast("string"))
+        state = lambda s, n, deleted: F.struct(s.alias("s"), n.alias("n"), deleted.alias("deleted"))
+        deletion = F.when(acc["deleted"] & (acc["n"] == 0), F.concat(acc["s"], t)).otherwise(F.concat(told, F.lit("^"), t))
+        return (
+            F.when(tok.rlike("^[0-9]+$"), state(acc["s"], (acc["n"] + F.coalesce(tok.try_cast("int"), F.lit(0))), acc["deleted"]))
+            .when(t == "-", acc)
+            .when(q == "-", state(deletion, F.lit(0), F.lit(True)))
+            .otherwise(state(F.concat(told, t), F.lit(0), F.lit(False)))
+        )
+
+    return F.aggregate(tokens, start, step, lambda acc: F.concat(acc["s"], acc["n"].cast("string")))
+
+
 def sam(hsps: DataFrame, reference: bool = True) -> DataFrame:
-    """SAM lines; MD runs from the transcript with gaps as ^."""
-    md = F.regexp_replace("btop", r"[A-Z*_]([A-Z*_])", "$1")
+    """SAM lines."""
+    md = mismatch_runs(F.col("btop"))
     line = F.concat_ws("\t", "qseqid", F.lit("0"), "sseqid", "sstart", F.lit("255"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), F.substring(F.col("full_qseq"), F.col("qstart"), F.col("qend") - F.col("qstart") + 1), F.lit("*"), F.format_string("AS:i:%d", F.floor("bitscore").cast("long")), F.format_string("NM:i:%d", F.col("length") - F.col("nident")), F.format_string("ZL:i:%d", "slen"), F.format_string("ZR:i:%d", "score"), F.concat(F.lit("ZE:f:"), render_evalue(F.col("evalue"))), F.format_string("ZI:i:%d", F.floor("pident").cast("long")), F.lit("ZF:i:1"), F.format_string("ZS:i:%d", "qstart"), F.concat(F.lit("MD:Z:"), md))
     lines = hsps.select(line.alias("value"))
     if not reference:
