@@ -121,7 +121,8 @@ def suffix_contexts(candidates: DataFrame, min_words: int) -> DataFrame:
                 anchor = K.sliding_argmin(K.windows_hash(words.hash, GRAM), w)[window]
                 nominated = np.zeros(len(doc), dtype=bool)
                 for d in range(i, j):
-                    nominated[words.first[d - i] + found[d].values.to_numpy(zero_copy_only=False)] = True
+                    place = words.first[d - i] + found[d].values.to_numpy(zero_copy_only=False)
+                    nominated[place[place < words.first[d - i + 1]]] = True  # an id's places may be those of its other texts
                 begin = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
                 low, high = window[begin], window[np.concatenate((begin[1:], [len(window)])) - 1]  # first and last window
                 a = anchor[begin]
