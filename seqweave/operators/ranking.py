@@ -98,8 +98,12 @@ def taxon_k(ranked: DataFrame, k: int) -> DataFrame:
 def range_cull(hsps: DataFrame, k: int = 1, cover: float = 0.5, top: float | None = None) -> DataFrame:
     """Range culling: in score order, drop a target if `cover` of its query range is covered k times already.
 
-    With `top`, a position counts as covered by a score that is more than top percent better.
+    With `top`, a position counts as covered by a score that is more than top percent better. Without, only the best k rows of
+    one range go on: if one of them is dropped the others of its range are too, and k that stay cover it.
     """
+    if top is None:
+        by = Window.partitionBy("qid", "qstart", "qend").orderBy(F.col("score").desc(), "tid")
+        hsps = hsps.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= k).drop("_k")
 
     def scan(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np

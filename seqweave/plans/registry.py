@@ -386,7 +386,32 @@ def six_frames(spark, d):
 # --- beyond SQL: rows only, held against brute force in tests
 
 
-@query()
+#: Score of the letters a and b; X stands for all that have no column.
+PLACE = "(CASE WHEN strpos('{l}', {c}) > 0 THEN strpos('{l}', {c}) ELSE 24 END)"
+_CELLS = "[" + ",".join(str(int(x)) for x in scores.blosum62().ravel()) + "]"
+
+
+def sql_score(a: str, b: str) -> str:
+    return f"{_CELLS}[26 * ({PLACE.format(l=scores.LETTERS, c=a)} - 1) + {PLACE.format(l=scores.LETTERS, c=b)}]"
+
+
+#: Hits of seeds that are not too frequent, the first of each run on a diagonal, with the best score up to 48 letters away.
+LEAST = shapes.least_identities("default")
+WINDOW_SCORES = f"""{SEEDS}, us AS (SELECT * FROM ts WHERE (shape, seed) IN (SELECT (shape, seed) FROM qs)),
+c AS (SELECT shape, seed, count(*) AS n FROM us GROUP BY shape, seed), k AS (SELECT shape, floor(avg(n) + 50 * coalesce(stddev_pop(n), 0)) AS cut FROM c GROUP BY shape),
+rare AS (SELECT us.* FROM us JOIN c ON us.shape = c.shape AND us.seed = c.seed JOIN k ON k.shape = c.shape WHERE n <= cut),
+j AS (SELECT a.shape, a.oid AS qid, a.pos AS i, b.oid AS tid, b.pos AS j FROM qs a JOIN rare b ON a.shape = b.shape AND a.seed = b.seed),
+h0 AS (SELECT j.shape, j.qid, j.i, j.tid, j.j, {IDENTITIES} AS hamming FROM j JOIN q ON q.oid = j.qid JOIN t ON t.oid = j.tid),
+h AS (SELECT qid, tid, i, j FROM (SELECT *, lag(i) OVER (PARTITION BY qid, tid, i - j ORDER BY i, shape) AS before FROM h0 WHERE hamming >= {LEAST}) WHERE before IS NULL OR i - before >= 48),
+wide AS (SELECT h.*, q.seq AS qseq, t.seq AS tseq, unnest(range(-least(48, i, j), least(48, length(q.seq) - i, length(t.seq) - j))) AS p FROM h JOIN q ON q.oid = qid JOIN t ON t.oid = tid),
+cells AS (SELECT qid, tid, i, j, p, {sql_score("substr(qseq, CAST(i + p + 1 AS INTEGER), 1)", "substr(tseq, CAST(j + p + 1 AS INTEGER), 1)")} AS cell FROM wide),
+sums AS (SELECT qid, tid, i, j, p, sum(cell) OVER (PARTITION BY qid, tid, i, j ORDER BY p) AS total FROM cells),
+best AS (SELECT qid, tid, i, j, total - least(0, min(total) OVER (PARTITION BY qid, tid, i, j ORDER BY p)) AS score FROM sums),
+g AS (SELECT qid, tid, CAST(max(score) AS INTEGER) AS score FROM best GROUP BY qid, tid HAVING max(score) > 0)"""
+_TOP_BITS = f"((CAST({_P['lambda']!r} AS DOUBLE) * score - CAST({math.log(_P['K'])!r} AS DOUBLE)) / CAST({math.log(2)!r} AS DOUBLE))"
+
+
+@query(f"WITH {WINDOW_SCORES}, e AS (SELECT g.*, {_TOP_BITS} AS bits, log10(length(q.seq) * greatest(1, (SELECT sum(length(seq)) FROM t))) - {_TOP_BITS} * log10(2.0) AS log_evalue FROM g JOIN q ON q.oid = qid) SELECT qid, tid, score, round(bits, 6) AS bitscore, round(log_evalue, 6) AS log_evalue, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS INTEGER) AS rank FROM e WHERE log_evalue <= -3 QUALIFY rank <= 25")
 def search_topk(spark, d):
     """The minimum slice: which documents hold text similar to a passage, by ungapped score."""
     from seqweave.plans.search import best_hits
@@ -397,7 +422,8 @@ def search_topk(spark, d):
     h = best_hits(q, t, cfg).join(q.select(F.col("oid").alias("qid"), "len"), "qid")
     bits = scores.bitscore(F.col("score"))
     h = h.withColumn("bitscore", bits).withColumn("evalue", F.col("len") * F.lit(float(letters)) * F.pow(F.lit(2.0), -F.col("bitscore"))).where("evalue <= 0.001")
-    return ranking.top_targets(h, 25).select("qid", "tid", "score", "bitscore", "evalue", "rank")
+    h = ranking.top_targets(h, 25)
+    return h.select("qid", "tid", "score", F.round("bitscore", 6).alias("bitscore"), F.round(F.log10("evalue"), 6).alias("log_evalue"), "rank")
 
 
 def _search(spark, d, **options):
@@ -424,7 +450,10 @@ def search_json(spark, d):
     return sinks.json_flat(_search(spark, d, top=10))
 
 
-@query()
+_PLOGP = "list_sum(list_transform(string_split('A,B,C,D,E,F,G,H,I,J,K,L,M,N,P,Q,R,S,T,V,W,X,Y,Z', ','), lambda c: CASE WHEN contains(win, c) THEN -(10 - length(replace(win, c, ''))) / 10.0 * log2((10 - length(replace(win, c, ''))) / 10.0) ELSE 0 END))"
+
+
+@query(f"WITH {Q}, {sql_windows('w', 'q', 10)}, e AS (SELECT oid, pos, {_PLOGP} AS bits FROM w), v AS (SELECT *, pos - row_number() OVER (PARTITION BY oid ORDER BY pos) AS run FROM e WHERE bits <= 2.1), r AS (SELECT oid, min(pos) AS a, max(pos) + 10 AS b FROM v GROUP BY oid, run HAVING min(bits) <= 1.8), l AS (SELECT oid, seq, unnest(range(0, length(seq))) AS p FROM q), m AS (SELECT l.oid, l.p, CASE WHEN count(r.a) > 0 THEN 'X' ELSE any_value(substr(seq, CAST(p + 1 AS INTEGER), 1)) END AS c FROM l LEFT JOIN r ON l.oid = r.oid AND p >= a AND p < b GROUP BY l.oid, l.p), s AS (SELECT oid, string_agg(c, '' ORDER BY p) AS seq FROM m GROUP BY oid) SELECT q.oid, coalesce(s.seq, q.seq) AS seq FROM q LEFT JOIN s ON q.oid = s.oid")
 def mask_seg(spark, d):
     return masking.mask(passages(spark, d).select("oid", "seq"), "seg")
 
@@ -450,13 +479,20 @@ def linclust_passages(spark, d):
     return cluster.linclust(passages(spark, d), 90.0)
 
 
-@query()
+_COVERED = "list_filter(range(f.qstart, f.qstart + 32), lambda p: len(list_filter(s.kept, lambda x: x <= p AND p <= x + 31)) > 0)"
+
+
+# of equal ranges only the best can stay: if it goes, so do the others
+@query(f"WITH RECURSIVE {HITS}, o AS (SELECT qid, tid, hamming AS score, i AS qstart FROM h QUALIFY row_number() OVER (PARTITION BY qid, i ORDER BY hamming DESC, tid) = 1), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid, qstart) AS k FROM o), s AS (SELECT qid, k, [qstart] AS kept, TRUE AS stays FROM f WHERE k = 1 UNION ALL SELECT f.qid, f.k, CASE WHEN len({_COVERED}) >= 16 THEN s.kept ELSE list_append(s.kept, f.qstart) END, len({_COVERED}) < 16 FROM s JOIN f ON f.qid = s.qid AND f.k = s.k + 1) SELECT f.qid, f.tid, f.score, CAST(f.score AS DOUBLE) AS bitscore, f.qstart, f.qstart + 31 AS qend FROM f JOIN s ON f.qid = s.qid AND f.k = s.k WHERE stays")
 def range_cull(spark, d):
     h = hits(spark, d).select("qid", "tid", F.col("hamming").alias("score"), F.col("hamming").cast("double").alias("bitscore"), F.col("i").alias("qstart"), (F.col("i") + 31).alias("qend"))
     return ranking.range_cull(h, 1)
 
 
-@query()
+_OWN = sql_score("substr(seq, CAST(p AS INTEGER), 1)", "substr(seq, CAST(p AS INTEGER), 1)")
+
+
+@query(f"WITH {Q}, l AS (SELECT oid, seq, unnest(range(1, length(seq) + 1)) AS p FROM q), s AS (SELECT oid, p, sum({_OWN}) OVER (PARTITION BY oid ORDER BY p) AS total FROM l), b AS (SELECT oid, total - least(0, min(total) OVER (PARTITION BY oid ORDER BY p)) AS score FROM s) SELECT q.oid, CAST(greatest(0, coalesce(max(b.score), 0)) AS INTEGER) AS score FROM q LEFT JOIN b ON q.oid = b.oid GROUP BY q.oid")
 def self_scores(spark, d):
     q = passages(spark, d).select("oid", F.col("seq").alias("qseq"), F.col("seq").alias("tseq"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     return align.score_hits(q, 1 << 20).select("oid", "score")
