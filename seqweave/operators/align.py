@@ -50,60 +50,99 @@ def self_score(q: np.ndarray, m: np.ndarray | None = None) -> int:
     return int((total - np.minimum.accumulate(total)).max())
 
 
-def local_score(q: np.ndarray, t: np.ndarray, gap_open: int = 11, gap_extend: int = 1, m: np.ndarray | None = None, bias: np.ndarray | None = None) -> np.ndarray:
-    """Matrices H, E, F of affine local alignment, along anti-diagonals: cell (i, j) at row i + j, column i."""
-    m = scores.blosum62() if m is None else m
-    n, k = len(q), len(t)
-    low = -(10**6)
-    h = np.zeros((n + k + 1, n + 1), dtype=np.int32)
-    e = np.full((n + k + 1, n + 1), low, dtype=np.int32)
-    f = np.full((n + k + 1, n + 1), low, dtype=np.int32)
-    bias = np.zeros(n, dtype=np.int32) if bias is None else bias
-    for d in range(2, n + k + 1):
-        lo, hi = max(1, d - k), min(n, d - 1)
-        i = np.arange(lo, hi + 1)
-        e[d, lo : hi + 1] = np.maximum(h[d - 1, lo : hi + 1] - gap_open, e[d - 1, lo : hi + 1]) - gap_extend  # gap in the query
-        f[d, lo : hi + 1] = np.maximum(h[d - 1, lo - 1 : hi] - gap_open, f[d - 1, lo - 1 : hi]) - gap_extend  # gap in the target
-        diagonal = h[d - 2, lo - 1 : hi] + m[q[i - 1], t[d - i - 1]] + bias[i - 1]
-        h[d, lo : hi + 1] = np.maximum(np.maximum(diagonal, 0), np.maximum(e[d, lo : hi + 1], f[d, lo : hi + 1]))
-    return h, e, f
+#: Bytes of traces that are filled at once.
+TRACES = 1 << 26
+#: Bits of a trace: a score above 0, reached on the diagonal, by a gap in the query; gaps in the query or the target begin here.
+ABOVE, DIAGONAL, DELETED, DELETION, INSERTION = 1, 2, 4, 8, 16
 
 
-def local_alignment(q: np.ndarray, t: np.ndarray, gap_open: int = 11, gap_extend: int = 1, m: np.ndarray | None = None, bias: np.ndarray | None = None) -> dict | None:
-    """Best local alignment with its operations; ties prefer the diagonal, then a gap in the query; None if nothing scores."""
-    m = scores.blosum62() if m is None else m
-    if not len(q) or not len(t):
-        return None
-    h, e, f = local_score(q, t, gap_open, gap_extend, m, bias)
-    best = int(h.max())
-    if best <= 0:
-        return None
-    ends = np.argwhere(h == best)
-    d, i = min(((int(d), int(i)) for d, i in ends), key=lambda x: (x[0] - x[1], x[1]))
-    j = d - i
-    bias = np.zeros(len(q), dtype=np.int32) if bias is None else bias
-    ops, qend, tend = [], i, j
-    while i and j and h[i + j, i] > 0:
-        s = h[i + j, i]
-        if s == h[i + j - 2, i - 1] + m[q[i - 1], t[j - 1]] + bias[i - 1]:
+def padded(codes: list[np.ndarray], width: int, fill: int = 25) -> np.ndarray:
+    out = np.full((len(codes), width), fill, dtype=np.int32)
+    for row, code in zip(out, codes, strict=True):
+        row[: len(code)] = code
+    return out
+
+
+def fill_traces(queries: list, targets: list, biases: list, gap_open: int, gap_extend: int, m: np.ndarray):
+    """Affine local alignment of pairs side by side, along anti-diagonals: (trace, score, i, j), trace[i + j, pair, i] in bits.
+
+    Shorter sequences end in delimiters, which match nothing, so no best score lies there. Of equal scores the smallest j,
+    then the smallest i is the end.
+    """
+    n, k, pairs = max(map(len, queries)), max(map(len, targets)), len(queries)
+    rows, columns = padded(queries, n) * m.shape[1], padded(targets, k)[:, ::-1].copy()
+    bias, flat, low = padded(biases, n, 0), m.astype(np.int32).ravel(), -(10**6)
+    trace = np.zeros((n + k + 1, pairs, n + 1), dtype=np.uint8)
+    best, best_i, best_j = (np.zeros(pairs, dtype=np.int64) for _ in range(3))
+    h1, h2 = (np.zeros((pairs, n + 1), dtype=np.int32) for _ in range(2))
+    e1, f1 = (np.full((pairs, n + 1), low, dtype=np.int32) for _ in range(2))
+    every = np.arange(pairs)
+    for d in range(2, n + k + 1):
+        lo, hi = max(1, d - k), min(n, d - 1)
+        here, left = slice(lo, hi + 1), slice(lo - 1, hi)
+        h, e, f = np.zeros_like(h1), np.full_like(e1, low), np.full_like(f1, low)
+        open_e, open_f = h1[:, here] - gap_open, h1[:, left] - gap_open
+        e[:, here] = np.maximum(open_e, e1[:, here]) - gap_extend  # gap in the query
+        f[:, here] = np.maximum(open_f, f1[:, left]) - gap_extend  # gap in the target
+        diagonal = h2[:, left] + flat.take(rows[:, left] + columns[:, k - d + lo : k - d + hi + 1]) + bias[:, left]
+        score = np.maximum(np.maximum(diagonal, 0), np.maximum(e[:, here], f[:, here]))
+        h[:, here] = score
+        bits = (score > 0) * np.uint8(ABOVE)
+        for bit, where in ((DIAGONAL, score == diagonal), (DELETED, score == e[:, here]), (DELETION, open_e >= e1[:, here]), (INSERTION, open_f >= f1[:, left])):
+            bits |= where * np.uint8(bit)
+        trace[d, :, here] = bits
+        i = hi - score[:, ::-1].argmax(axis=1)
+        top = score[every, i - lo]
+        better = (top > best) | ((top == best) & (d - i < best_j))  # one j has one i on a diagonal, and a smaller i comes earlier
+        best, best_i, best_j = np.where(better, top, best), np.where(better, i, best_i), np.where(better, d - i, best_j)
+        h2, h1, e1, f1 = h1, h, e, f
+    return trace, best, best_i, best_j
+
+
+def operations(q: np.ndarray, t: np.ndarray, trace: np.ndarray, i: int, j: int) -> tuple[int, int, str]:
+    """(i, j, operations) of the way back from (i, j); ties prefer the diagonal, then a gap in the query."""
+    ops = []
+    while i and j and trace[i + j, i] & ABOVE:
+        bits = trace[i + j, i]
+        if bits & DIAGONAL:
             ops.append("=" if q[i - 1] == t[j - 1] else "X")
             i, j = i - 1, j - 1
-        elif s == e[i + j, i]:
-            while True:
-                ops.append("D")
-                opened = e[i + j, i] == h[i + j - 1, i] - gap_open - gap_extend
-                j -= 1
-                if opened:
-                    break
-        else:
-            while True:
-                ops.append("I")
-                opened = f[i + j, i] == h[i + j - 1, i - 1] - gap_open - gap_extend
-                i -= 1
-                if opened:
-                    break
+            continue
+        by_target, opening = (True, DELETION) if bits & DELETED else (False, INSERTION)
+        while True:
+            ops.append("D" if by_target else "I")
+            opened = trace[i + j, i] & opening
+            i, j = (i, j - 1) if by_target else (i - 1, j)
+            if opened:
+                break
     ops.reverse()
-    return {"score": best, "qbegin": i, "qend": qend, "sbegin": j, "send": tend, "ops": "".join(ops)}
+    return i, j, "".join(ops)
+
+
+def local_alignments(queries: list, targets: list, gap_open: int = 11, gap_extend: int = 1, m: np.ndarray | None = None, biases: list | None = None) -> list[dict | None]:
+    """Best local alignment of each pair with its operations; None if nothing scores. Pairs of like size are filled together."""
+    m = scores.blosum62() if m is None else m
+    found: list[dict | None] = [None] * len(queries)
+    biases = biases or [None] * len(queries)
+    cells = lambda n, k: (n + k + 1) * (n + 1)
+    left = sorted((r for r in range(len(queries)) if len(queries[r]) and len(targets[r])), key=lambda r: (len(queries[r]), len(targets[r])))
+    while left:
+        part = [left.pop()]  # the longest first
+        n, k = len(queries[part[0]]), len(targets[part[0]])
+        while left and (len(part) + 1) * cells(n, max(k, len(targets[left[-1]]))) <= TRACES:
+            part.append(left.pop())
+            k = max(k, len(targets[part[-1]]))
+        own = [biases[r] if biases[r] is not None else np.zeros(0, dtype=np.int32) for r in part]
+        trace, best, i, j = fill_traces([queries[r] for r in part], [targets[r] for r in part], own, gap_open, gap_extend, m)
+        for x, r in enumerate(part):
+            if best[x] > 0:
+                qbegin, sbegin, ops = operations(queries[r], targets[r], trace[:, x], int(i[x]), int(j[x]))
+                found[r] = {"score": int(best[x]), "qbegin": qbegin, "qend": int(i[x]), "sbegin": sbegin, "send": int(j[x]), "ops": ops}
+    return found
+
+
+def local_alignment(q: np.ndarray, t: np.ndarray, gap_open: int = 11, gap_extend: int = 1, m: np.ndarray | None = None, bias: np.ndarray | None = None) -> dict | None:
+    return local_alignments([q], [t], gap_open, gap_extend, m, [bias])[0]
 
 
 def describe(a: dict, q: np.ndarray, t: np.ndarray, m: np.ndarray | None = None) -> tuple:
@@ -151,6 +190,7 @@ def align_pairs(pairs: DataFrame, gap_open: int = 11, gap_extend: int = 1, bias:
         for batch in batches:
             rows, where = [], []
             corrected: dict[str, np.ndarray] = {}
+            queries, targets, biases, lows = [], [], [], []
             for r in range(batch.num_rows):
                 text = batch.column("qseq")[r].as_py() or ""
                 q, t = scores.encode(text), scores.encode(batch.column("tseq")[r].as_py() or "")
@@ -166,17 +206,24 @@ def align_pairs(pairs: DataFrame, gap_open: int = 11, gap_extend: int = 1, bias:
                     diagonal = batch.column("j")[r].as_py() - batch.column("i")[r].as_py()
                     lo = max(0, diagonal - margin)
                     t = t[lo : max(lo, diagonal + len(q) + margin)]
-                masked = t.copy()
-                for _ in range(max_hsps):
-                    a = local_alignment(q, masked, gap_open, gap_extend, bias=corrected.get(text))
-                    if a is None or a["score"] < min_score:
-                        break
-                    row = list(describe(a, q, t))
-                    row[3] += lo
-                    row[4] += lo
+                queries.append(q)
+                targets.append(t)
+                biases.append(corrected.get(text))
+                lows.append(lo)
+            masked, left = list(targets), list(range(batch.num_rows))
+            for again in range(max_hsps):
+                found = local_alignments([queries[r] for r in left], [masked[r] for r in left], gap_open, gap_extend, None, [biases[r] for r in left])
+                kept = [(r, a) for r, a in zip(left, found, strict=True) if a is not None and a["score"] >= min_score]
+                left = [r for r, _ in kept]
+                for r, a in kept:
+                    row = list(describe(a, queries[r], targets[r]))
+                    row[3] += lows[r]
+                    row[4] += lows[r]
                     rows.append(row)
                     where.append(r)
-                    masked[a["sbegin"] : a["send"]] = 25
+                    if again + 1 < max_hsps:
+                        masked[r] = masked[r].copy()
+                        masked[r][a["sbegin"] : a["send"]] = 25
             take = pa.array(where, pa.int32())
             columns = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in others] + columns, names=[*others, *names])

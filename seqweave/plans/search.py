@@ -121,7 +121,9 @@ def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = No
     title = lambda df: F.col("title") if "title" in df.columns else name(df)
     q = queries.select(F.col("oid").alias("qid"), name(queries).alias("qseqid"), title(queries).alias("qtitle"), F.col("seq").alias("full_qseq"), F.length("seq").alias("qlen"))
     t = targets.select(F.col("oid").alias("tid"), name(targets).alias("sseqid"), title(targets).alias("stitle"), F.col("seq").alias("full_sseq"), F.length("seq").alias("slen"))
-    pairs = bands(queries, targets, cfg).join(q, "qid").join(t, "tid").withColumn("qseq", F.col("full_qseq")).withColumn("tseq", F.col("full_sseq"))
+    # dealt by number, not by size: rows are small, but each is an alignment
+    dealt = bands(queries, targets, cfg).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "tid", "lo")
+    pairs = dealt.join(q, "qid").join(t, "tid").withColumn("qseq", F.col("full_qseq")).withColumn("tseq", F.col("full_sseq"))
     h = align.align_pairs(pairs, cfg.gap_open, cfg.gap_extend, cfg.bias, cfg.max_hsps)
     if cfg.max_hsps > 1:  # ranges too large to be joined may overlap and find one alignment twice
         h = h.dropDuplicates(["qid", "tid", "qstart", "qend", "sstart", "send"])

@@ -32,6 +32,16 @@ def slow_local(q, t, open_, extend):
     return best
 
 
+def test_alignments_side_by_side_equal_single_ones():
+    rng = np.random.default_rng(8)
+    queries = [rng.integers(0, 4, n).astype(np.int8) for n in (0, 1, 30, 7, 61, 30, 12)]
+    targets = [rng.integers(0, 4, n).astype(np.int8) for n in (5, 1, 44, 80, 0, 9, 33)]
+    biases = [None if r % 2 else rng.integers(-2, 2, len(q)).astype(np.int32) for r, q in enumerate(queries)]
+    single = [align.local_alignment(q, t, bias=b) for q, t, b in zip(queries, targets, biases, strict=True)]
+    assert align.local_alignments(queries, targets, biases=biases) == single
+    assert single[0] is None and single[4] is None and sum(a is not None for a in single) >= 4
+
+
 def test_local_alignment_against_plain_recurrence():
     rng = random.Random(3)
     for _ in range(40):

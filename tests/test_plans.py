@@ -155,7 +155,7 @@ def test_stream_equals_batch(spark, world, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-@pytest.mark.parametrize("name", ["seq_stats", "kmer_topn", "seed_join", "hamming_window_filter", "topk_targets", "connected_components", "lca", "block_partition_letters"])
+@pytest.mark.parametrize("name", ["seq_stats", "kmer_topn", "seed_join", "hamming_window_filter", "topk_targets", "connected_components", "lca", "block_partition_letters", "search_topk", "self_scores", "mask_seg", "range_cull"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "orders", "documents", "benchmark"):
