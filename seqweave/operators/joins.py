@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqweave.operators import seeds as S
+
 
 def _as(seeds: DataFrame, oid: str, pos: str) -> DataFrame:
     return seeds.withColumnRenamed("oid", oid).withColumnRenamed("pos", pos)
@@ -71,6 +75,65 @@ def hamming_filter(hits: DataFrame, queries: DataFrame, targets: DataFrame, leas
     return h.withColumn("hamming", window_identities(F.col("_q"), F.col("_t"), F.col("i"), F.col("j"))).where(F.col("hamming") >= least).drop("_q", "_t")
 
 
+def compare_windows(hits: DataFrame, least: int, left: int = 16, right: int = 32) -> DataFrame:
+    """Hits with columns qwin, qat, twin and tat (see seeds_around) as hamming_filter gives them, from these windows alone."""
+    others = ["shape", "seed", "qid", "i", "tid", "j"]
+    silent = np.zeros(256, dtype=bool)
+    silent[list(b"X*_")] = True
+
+    def placed(win, at, fill: int) -> np.ndarray:
+        offsets = np.frombuffer(win.buffers()[1], dtype=np.int32)[win.offset : win.offset + len(win) + 1].astype(np.int64)
+        out, size = np.full((len(win), left + right), fill, dtype=np.uint8), np.diff(offsets)
+        data = np.frombuffer(win.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        row = np.repeat(np.arange(len(win)), size)
+        out[row, np.arange(len(data)) - (offsets[:-1] - offsets[0])[row] + (left - at)[row]] = data
+        return out
+
+    def compared(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, t = (placed(batch.column(w), batch.column(a).to_numpy(), f) for w, a, f in (("qwin", "qat", 0), ("twin", "tat", 1)))
+            same = ((q == t) & ~silent[q]).sum(axis=1).astype(np.int32)
+            keep = np.flatnonzero(same >= least)
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in others), pa.array(same[keep])], names=[*others, "hamming"])
+
+    kinds = ", ".join(f"{c} {hits.schema[c].dataType.simpleString()}" for c in others)
+    return hits.select(*others, "qwin", "qat", "twin", "tat").mapInArrow(compared, f"{kinds}, hamming int")
+
+
+def repeated(seqs: DataFrame) -> DataFrame | None:
+    """Ids that more than one sequence has; None if there are none."""
+    ids = seqs.groupBy("oid").agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col("oid").isNotNull()).select("oid")
+    return None if ids.isEmpty() else ids
+
+
+def window_hits(query_seeds: DataFrame, target_seeds: DataFrame, queries: DataFrame, targets: DataFrame, least: int) -> DataFrame:
+    """hamming_filter of the seed join of seeds that carry their windows (seeds_around): no text is joined to a hit, but where an
+    id names several texts each of them is compared."""
+    q = query_seeds.select("shape", "seed", F.col("oid").alias("qid"), F.col("pos").alias("i"), F.col("win").alias("qwin"), F.col("at").alias("qat"))
+    t = target_seeds.select("shape", "seed", F.col("oid").alias("tid"), F.col("pos").alias("j"), F.col("win").alias("twin"), F.col("at").alias("tat"))
+    found = q.join(t, ["shape", "seed"]).where("qid is not null and tid is not null")
+    if repeated(queries) is not None:
+        return hamming_filter(found.drop("qwin", "qat", "twin", "tat"), queries, targets, least)
+    often = repeated(targets)
+    if often is None:
+        return compare_windows(found, least)
+    of = often.withColumnRenamed("oid", "tid")
+    slow = hamming_filter(found.join(of, "tid", "left_semi").drop("qwin", "qat", "twin", "tat"), queries, targets.join(often, "oid", "left_semi"), least)
+    return compare_windows(found.join(of, "tid", "left_anti"), least).unionByName(slow)
+
+
+def seed_hits(queries: DataFrame, targets: DataFrame, codes: list[str], least: int) -> DataFrame:
+    """(shape, seed, qid, i, tid, j, hamming): pairs of seeds with at least `least` identities around them, in one pass over targets."""
+    q = S.seeds_around(queries, codes)
+    keys = S.key_list(q)
+    if keys is None:
+        return hamming_filter(seed_join(S.spaced_seeds(queries, codes), S.spaced_seeds(targets, codes)), queries, targets, least)
+    return window_hits(q, S.seeds_around(targets, codes, keys), queries, targets, least)
+
+
 def leftmost(hits: DataFrame, window: int = 48) -> DataFrame:
     """One hit per diagonal and run of hits less than `window` apart: the first by position, then shape."""
     by = Window.partitionBy("qid", "tid", "_d").orderBy("i", "shape")

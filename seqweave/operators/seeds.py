@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from seqweave.functions import alphabet, shapes
 
 #: Positions whose seeds are gathered at once.
 BLOCK = 1 << 16
+#: Keys of queries up to which every task gets them all.
+MOST_KEYS = 1_000_000
 
 
 def seed_rows(seqs: DataFrame, codes: list[str], seq: str, keep: tuple[str, ...], without: str) -> DataFrame:
@@ -53,6 +56,96 @@ def seed_rows(seqs: DataFrame, codes: list[str], seq: str, keep: tuple[str, ...]
     return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(gathered, f"shape int, seed string, {kinds}, pos int")
 
 
+def reduced_bytes(reduction: str) -> np.ndarray:
+    """The byte that each byte is reduced to."""
+    out = np.arange(256, dtype=np.uint8)
+    for a, b in zip(*alphabet.reduction_map(reduction), strict=True):
+        out[ord(a)] = ord(b)
+    return out
+
+
+def key_list(seeds: DataFrame) -> list | None:
+    """The keys (shape, seed) of seeds, or None if they are more than MOST_KEYS."""
+    found = seeds.select("shape", "seed").distinct().limit(MOST_KEYS + 1).collect()
+    return None if len(found) > MOST_KEYS else [(r["shape"], r["seed"]) for r in found]
+
+
+def seeds_around(seqs: DataFrame, codes: list[str], keys: list | None = None, reduction: str = "murphy10", left: int = 16, right: int = 32) -> DataFrame:
+    """(shape, seed, oid, pos, win, at): spaced seeds with the letters from `left` before to `right` after their begin, clipped
+    at the ends; the seed begins at letter `at` of them. With keys, only seeds that are among these: they are told apart while
+    windows are read, so that others never leave the task, first by a hash in a table of bytes, then by their letters.
+    """
+    table, bad = reduced_bytes(reduction), np.zeros(256, dtype=bool)
+    bad[list(b"X*_")] = True
+    at_ones = [(len(code), np.array([i for i, c in enumerate(code) if c == "1"])) for code in codes]
+    factor, spread = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    wanted: list = []
+    bits = min(26, max(16, (64 * len(keys or ())).bit_length()))
+    down = np.uint64(64 - bits)
+    for shape, (_, ones) in enumerate(at_ones if keys is not None else ()):
+        own = sorted(k for s, k in keys if s == shape and len(k) == len(ones))
+        h = np.zeros(len(own), dtype=np.uint64)
+        letters = np.frombuffer("".join(own).encode(), dtype=np.uint8).reshape(len(own), len(ones)).astype(np.uint64)
+        for k in range(len(ones)):
+            h = h * factor + letters[:, k]
+        marks = np.zeros(1 << bits, dtype=bool)
+        marks[((h * spread) >> down).astype(np.int64)] = True
+        wanted.append((marks, pa.array(own, pa.string())))
+
+    def gathered(batches):
+        for batch in batches:
+            text = batch.column("_s").fill_null("")
+            at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            if not len(text) or at[-1] == at[0]:
+                continue
+            data = np.frombuffer(text.buffers()[2], dtype=np.uint8)[: at[-1]]
+            for block in range(int(at[0]), int(at[-1]), BLOCK):
+                place = np.arange(block, min(block + BLOCK, int(at[-1])))
+                row = np.searchsorted(at, place, side="right") - 1
+                for shape, (span, ones) in enumerate(at_ones):
+                    n = min(len(place), len(data) - block - span + 1)
+                    if n <= 0:
+                        continue
+                    near = table[data[block : block + n + span - 1]]
+                    good = place[:n] + span <= at[row[:n] + 1]
+                    ill = bad[near]
+                    for o in ones:
+                        good &= ~ill[o : o + n]
+                    if keys is not None:
+                        wide, h = near.astype(np.uint64), np.zeros(n, dtype=np.uint64)
+                        for o in ones:
+                            h *= factor
+                            h += wide[o : o + n]
+                        h *= spread
+                        good &= wanted[shape][0][(h >> down).astype(np.int64)]
+                    start = np.flatnonzero(good)
+                    letters = near[start[:, None] + ones]
+                    seed = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.arange(0, letters.size + 1, len(ones), dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+                    if keys is not None:
+                        true = pc.is_in(seed, value_set=wanted[shape][1]).to_numpy(zero_copy_only=False)
+                        start, seed = start[true], seed.filter(pa.array(true))
+                    if not len(start):
+                        continue
+                    of, start = row[start], start + block
+                    lo, hi = np.maximum(start - left, at[of]), np.minimum(start + right, at[of + 1])
+                    ends = np.concatenate(([0], np.cumsum(hi - lo)))
+                    letters = data[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], hi - lo)]
+                    win = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters))
+                    columns = [pa.array(np.full(len(start), shape, dtype=np.int32)), seed, batch.column("oid").take(pa.array(of)), pa.array((start - at[of]).astype(np.int32)), win, pa.array((start - lo).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shape", "seed", "oid", "pos", "win", "at"])
+
+    kind = seqs.schema["oid"].dataType.simpleString()
+    return seqs.select("oid", F.col("seq").alias("_s")).mapInArrow(gathered, f"shape int, seed string, oid {kind}, pos int, win string, at int")
+
+
+def shared_seeds(seqs: DataFrame, codes: list[str], query_seeds: DataFrame) -> DataFrame:
+    """(shape, seed, oid, pos): seeds of seqs that some query has."""
+    keys = key_list(query_seeds)
+    if keys is None:
+        return only_shared(spaced_seeds(seqs, codes), query_seeds)
+    return seeds_around(seqs, codes, keys, left=0, right=0).select("shape", "seed", "oid", "pos")
+
+
 def windows(seqs: DataFrame, span: int, seq: str = "seq", keep: tuple[str, ...] = ("oid",)) -> DataFrame:
     """(keep.., pos, win): every window of `span` letters; pos counts from 0."""
     return seed_rows(seqs, ["1" * span], seq, keep, "").select(*keep, "pos", F.col("seed").alias("win"))
