@@ -99,6 +99,61 @@ def fill_traces(queries: list, targets: list, biases: list, gap_open: int, gap_e
     return trace, best, best_i, best_j
 
 
+def fill_scores(q: np.ndarray, targets: list, bias: np.ndarray, gap_open: int, gap_extend: int, m: np.ndarray) -> np.ndarray:
+    """Best scores of fill_traces for one query and targets side by side, without traces: arrays of [query position, target]."""
+    n, k, lanes = len(q), max(map(len, targets)), len(targets)
+    kind = np.int16 if (n + 1) * (int(np.abs(m).max()) + int(np.abs(bias).max(initial=0))) < 30000 else np.int32
+    text = np.full((k, lanes), 25, dtype=np.uint8)
+    for x, t in enumerate(targets):
+        text[: len(t), x] = t
+    letters, of = np.unique(np.stack((q.astype(np.int64), bias.astype(np.int64))), axis=1, return_inverse=True)
+    profile = np.concatenate([(m[a] + b).astype(kind).take(text) for a, b in letters.T])
+    at = of.ravel() * k - np.arange(n) - 2  # row of the profile of query position i - 1 and target position d - i - 1, less d
+    h, h1, h2, best, cells, opened = (np.zeros((n + 1, lanes), dtype=kind) for _ in range(6))
+    e, f, f1 = (np.full((n + 1, lanes), -10000, dtype=kind) for _ in range(3))
+    for d in range(2, n + k + 1):
+        lo, hi = max(1, d - k), min(n, d - 1)
+        here, left, s = slice(lo, hi + 1), slice(lo - 1, hi), cells[: hi - lo + 1]
+        o = np.subtract(h1[lo - 1 : hi + 1], gap_open, out=opened[: hi - lo + 2])
+        np.maximum(o[1:], e[here], out=e[here])
+        e[here] -= gap_extend
+        np.maximum(o[:-1], f1[left], out=f[here])
+        f[here] -= gap_extend
+        profile.take(at[lo - 1 : hi] + d, axis=0, out=s, mode="clip")
+        s += h2[left]
+        np.maximum(s, e[here], out=s)
+        np.maximum(s, f[here], out=s)
+        np.maximum(s, 0, out=h[here])
+        np.maximum(best[here], h[here], out=best[here])
+        h, h1, h2, f, f1 = h2, h, h1, f1, f
+    return best.max(axis=0)
+
+
+#: Query positions times targets that are filled side by side, and bytes of a profile.
+SIDE, PROFILE = 1 << 14, 1 << 25
+
+
+def local_scores(queries: list, targets: list, gap_open: int = 11, gap_extend: int = 1, biases: list | None = None, m: np.ndarray | None = None) -> np.ndarray:
+    """Scores of local_alignments, 0 where nothing scores. Targets of one query are filled together."""
+    m = scores.blosum62() if m is None else m
+    out = np.zeros(len(queries), dtype=np.int64)
+    groups: dict = {}
+    for r, q in enumerate(queries):
+        if len(q) and len(targets[r]):
+            groups.setdefault((q.tobytes(), None if biases is None or biases[r] is None else biases[r].tobytes()), []).append(r)
+    for rows in groups.values():
+        q = queries[rows[0]]
+        bias = np.zeros(len(q), dtype=np.int32) if biases is None or biases[rows[0]] is None else biases[rows[0]]
+        rows.sort(key=lambda r: len(targets[r]))
+        while rows:
+            lanes = max(1, min(SIDE // len(q), PROFILE // (2 * min(len(q), 64) * len(targets[rows[-1]]))))
+            least = len(targets[rows[-1]]) * 3 // 4 - 16  # shorter ones would be filled up with delimiters
+            part = [r for r in rows[-lanes:] if len(targets[r]) >= least]
+            rows = rows[: -len(part)]
+            out[part] = fill_scores(q, [targets[r] for r in part], bias, gap_open, gap_extend, m)
+    return out
+
+
 def operations(q: np.ndarray, t: np.ndarray, trace: np.ndarray, i: int, j: int) -> tuple[int, int, str]:
     """(i, j, operations) of the way back from (i, j); ties prefer the diagonal, then a gap in the query."""
     ops = []
@@ -255,8 +310,8 @@ def score_hits(hits: DataFrame, window: int = 48) -> DataFrame:
     return hits.mapInArrow(scored, schema + "score int")
 
 
-def with_statistics(hsps: DataFrame, db_letters: int, gap_open: int = 11, gap_extend: int = 1) -> DataFrame:
-    """HSPs (score, qlen, slen, ranges) with evalue, bitscore, identities in percent and coverages."""
+def evalues(db_letters: int, gap_open: int = 11, gap_extend: int = 1):
+    """The e-value of columns score, qlen and slen."""
 
     @F.pandas_udf("double")
     def ev(score, qlen, slen):
@@ -264,7 +319,12 @@ def with_statistics(hsps: DataFrame, db_letters: int, gap_open: int = 11, gap_ex
 
         return pd.Series(scores.evalue(score.to_numpy(), qlen.to_numpy(), slen.to_numpy(), db_letters, gap_open, gap_extend))
 
-    h = hsps.withColumn("evalue", ev("score", "qlen", "slen")).withColumn("bitscore", scores.bitscore(F.col("score"), gap_open, gap_extend))
+    return ev("score", "qlen", "slen")
+
+
+def with_statistics(hsps: DataFrame, db_letters: int, gap_open: int = 11, gap_extend: int = 1) -> DataFrame:
+    """HSPs (score, qlen, slen, ranges) with evalue, bitscore, identities in percent and coverages."""
+    h = hsps.withColumn("evalue", evalues(db_letters, gap_open, gap_extend)).withColumn("bitscore", scores.bitscore(F.col("score"), gap_open, gap_extend))
     h = h.withColumn("pident", F.col("nident") * 100.0 / F.col("length")).withColumn("ppos", F.col("positive") * 100.0 / F.col("length"))
     h = h.withColumn("qcovhsp", (F.col("qend") - F.col("qstart") + 1) * 100.0 / F.col("qlen")).withColumn("scovhsp", (F.col("send") - F.col("sstart") + 1) * 100.0 / F.col("slen"))
     same = (F.col("qseq_range") == F.col("sseq_range")) if "qseq_range" in hsps.columns else F.lit(False)

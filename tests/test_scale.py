@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from seqweave.functions import scores, shapes
-from seqweave.operators import joins, seeds
+from seqweave.operators import align, chaining, joins, seeds
 
 CODE = shapes.SHAPES["default"][0]
 
@@ -52,3 +53,44 @@ def test_texts_do_not_travel_with_hits(spark, sides):
     once = [x.where("oid is not null and oid <> 3") for x in sides]
     plan = joins.seed_hits(*once, [CODE], 11)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "twin" in plan
+
+
+def test_diagonals_side_by_side_equal_single_ones():
+    rng = random.Random(3)
+    for q, t in zip(texts(rng, 30), texts(rng, 30), strict=True):
+        a, b, centre = scores.encode(q), scores.encode(t), rng.randint(-60, 60)
+        want = []
+        for d in range(centre - 9, centre + 10):
+            i, j = max(d, 0), max(-d, 0)
+            n = max(min(len(a) - i, len(b) - j), 0)
+            total = np.concatenate(([0], scores.blosum62()[a[i : i + n], b[j : j + n]].cumsum()))
+            want.append((total - np.minimum.accumulate(total)).max())
+        assert chaining.scan_diagonals(a, b, centre, 9).tolist() == want
+
+
+def test_pairs_by_batches(spark, sides):
+    once = [x.where("oid is not null and oid <> 3") for x in sides]
+    h = joins.leftmost(joins.seed_hits(*once, [CODE], 11))
+    pairs = chaining.with_texts(h, *once)
+    q, t = ({r["oid"]: scores.encode(r["seq"] or "") for r in x.collect()} for x in once)
+    hits = {}
+    for r in h.collect():
+        hits.setdefault((r["qid"], r["tid"]), []).append((r["i"], r["j"]))
+    want = sorted((*k, n, c["score"], c["d_min"], c["d_max"]) for k, v in hits.items() for n, c in enumerate(chaining.pair_chains(q[k[0]], t[k[1]], sorted(v))))
+    assert sorted(rows(chaining.chained_pairs(pairs), "qid", "tid", "chain", "score", "d_min", "d_max")) == want and len(want) > 10
+    reached = sorted(k for k, v in hits.items() if any(chaining.gapped_score(chaining.scan_diagonals(q[k[0]], t[k[1]], i - j, 64)) >= 150 for i, j in v))
+    assert sorted(rows(chaining.gapped_pairs(pairs, 150))) == reached and 0 < len(reached) < len(hits)
+    assert "Pandas" not in chaining.gapped_pairs(pairs, 60)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("side", [align.SIDE, 40])
+def test_scores_without_traces(side, monkeypatch):
+    monkeypatch.setattr(align, "SIDE", side)
+    rng = np.random.default_rng(5)
+    own = [rng.integers(0, 4, n).astype(np.int8) for n in (0, 1, 30, 7, 61)]
+    queries = [own[k % 5] for k in range(40)]
+    targets = [rng.integers(0, 4, n).astype(np.int8) for n in rng.integers(0, 90, 40)]
+    bias = [None if k % 2 else rng.integers(-2, 2, len(q)).astype(np.int32) for k, q in enumerate(own)]
+    biases = [bias[k % 5] for k in range(40)]
+    want = [a["score"] if a else 0 for a in align.local_alignments(queries, targets, biases=biases)]
+    assert align.local_scores(queries, targets, biases=biases).tolist() == want and max(want) > 50
