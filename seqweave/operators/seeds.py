@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions import alphabet, shapes
+from seqweave.functions import alphabet, digest, shapes
 
 #: Positions whose seeds are gathered at once.
 BLOCK = 1 << 16
@@ -56,6 +56,157 @@ def seed_rows(seqs: DataFrame, codes: list[str], seq: str, keep: tuple[str, ...]
     return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(gathered, f"shape int, seed string, {kinds}, pos int")
 
 
+def each_text(text: pa.StringArray):
+    """(first row, offsets, bytes) of texts in a row that have BLOCK letters or more together; offsets count from 0."""
+    at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    if not len(text) or at[-1] == at[0]:
+        return
+    data, a = np.frombuffer(text.buffers()[2], dtype=np.uint8), 0
+    while a < len(text):
+        b = min(len(text), max(a + 1, int(np.searchsorted(at, at[a] + BLOCK))))
+        if at[b] > at[a]:
+            yield a, at[a : b + 1] - at[a], data[at[a] : at[b]]
+        a = b
+
+
+def windows_of(data: np.ndarray, at: np.ndarray, ones: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, letters) of the windows of all rows whose letters at `ones` are not bad."""
+    n = len(data) - int(ones[-1])
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(ones)), np.uint8)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
+    good, ill = np.arange(n) + int(ones[-1]) < at[row + 1], bad[data]
+    for o in ones:
+        good &= ~ill[o : o + n]
+    start = np.flatnonzero(good)
+    row = row[start]
+    return row, start - at[row], data[start[:, None] + ones]
+
+
+def words_of(letters: np.ndarray) -> list[np.ndarray]:
+    """Numbers that order rows of letters as their text does: as few as 60 bits each can hold."""
+    known = np.flatnonzero(np.bincount(letters.ravel(), minlength=256))
+    code, bits = np.zeros(256, dtype=np.int64), max(1, (len(known) - 1).bit_length())
+    code[known] = np.arange(len(known))
+    out = []
+    for k in range(letters.shape[1]):
+        if k % (60 // bits) == 0:
+            out.append(np.zeros(len(letters), dtype=np.int64))
+        out[-1] = (out[-1] << bits) | code[letters[:, k]]
+    return out
+
+
+def string_rows(letters: np.ndarray) -> pa.StringArray:
+    ends = np.arange(0, letters.size + 1, max(letters.shape[1], 1), dtype=np.int32)
+    return pa.StringArray.from_buffers(len(letters), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def grouped(row: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows and letters in order, equal ones as they come, and where a new one begins."""
+    words = words_of(letters)
+    order = np.lexsort((*words[::-1], row))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for x in (row, *words):
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, new
+
+
+def each_row(seqs: DataFrame, codes: list[str], reduction: str, found, schema: str) -> DataFrame:
+    """(shape, oid, found(row, pos, letters, rows)..) of every text; found gives the rows' numbers and the columns of `schema`."""
+    table, bad = reduced_bytes(reduction), np.zeros(256, dtype=bool)
+    bad[list(b"X*_")] = True
+    shaped = [np.array([i for i, c in enumerate(code) if c == "1"]) for code in codes]
+    spans, names = [len(code) for code in codes], [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches):
+        for batch in batches:
+            for first, at, data in each_text(batch.column("_s").fill_null("")):
+                near = table[data]
+                for shape, ones in enumerate(shaped):
+                    ends = ones if ones[-1] + 1 == spans[shape] else np.append(ones, spans[shape] - 1)
+                    row, pos, letters = windows_of(near, at, ones, bad)
+                    if len(ends) > len(ones):
+                        whole = at[row] + pos + spans[shape] <= at[row + 1]
+                        row, pos, letters = row[whole], pos[whole], letters[whole]
+                    if len(row):
+                        of, columns = found(row, pos, letters, len(at) - 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shape, dtype=np.int32)), batch.column("oid").take(pa.array(of + first)), *columns], names=["shape", "oid", *names])
+
+    kind = seqs.schema["oid"].dataType.simpleString()
+    return seqs.select("oid", F.col("seq").alias("_s")).mapInArrow(read, f"shape int, oid {kind}, {schema}")
+
+
+def apart(seqs: DataFrame, by_text, by_id) -> DataFrame:
+    """by_text of sequences whose id is their own, and by_id of those that share one."""
+    ids = seqs.groupBy("oid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("oid").alias("_id"))
+    if ids.isEmpty():
+        return by_text(seqs)
+    same = F.col("oid").eqNullSafe(F.col("_id"))
+    return by_text(seqs.join(ids, same, "left_anti")).unionByName(by_id(seqs.join(ids, same, "left_semi")))
+
+
+def seed_summary(seqs: DataFrame, codes: list[str], reduction: str = "murphy10") -> DataFrame:
+    """(shape, oid, n, keys, low, high): how many seeds and different seeds a sequence has, the least and the last of them."""
+
+    def found(row, pos, letters, rows):
+        order, new = grouped(row, letters)
+        n = np.bincount(row, minlength=rows)
+        of = np.flatnonzero(n)
+        last = n.cumsum()[of] - 1
+        keys = np.bincount(row[order][new], minlength=rows)[of]
+        return of, [pa.array(n[of]), pa.array(keys), string_rows(letters[order[last - n[of] + 1]]), string_rows(letters[order[last]])]
+
+    def by_id(s):
+        return spaced_seeds(s, codes, reduction).groupBy("shape", "oid").agg(F.count("*").alias("n"), F.countDistinct("seed").alias("keys"), F.min("seed").alias("low"), F.max("seed").alias("high"))
+
+    return apart(seqs, lambda s: each_row(s, codes, reduction, found, "n bigint, keys bigint, low string, high string"), by_id)
+
+
+def sequence_sketch(seqs: DataFrame, codes: list[str], n: int, reduction: str = "murphy10") -> DataFrame:
+    """sketch of the sequences' seeds. Each text's own n smallest come from one pass; those of one id are met again."""
+
+    def found(row, pos, letters, rows):
+        order, new = grouped(row, letters)
+        first = order[new]  # at the least position
+        high, low = digest.md5_words(letters[first])
+        by = first[np.lexsort((low, high, row[first]))]
+        k = np.arange(len(by)) - np.searchsorted(row[by], row[by])
+        by = by[k < n]
+        return row[by], [string_rows(letters[by]), pa.array(pos[by].astype(np.int32))]
+
+    return sketch(each_row(seqs, codes, reduction, found, "seed string, pos int"), n)
+
+
+def sliding_least(row: np.ndarray, high: np.ndarray, low: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, least): of every w in a row of one text the place of the smallest hash, the first of equals."""
+    end = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) >= w - 1)
+    best = end - (w - 1)
+    for k in range(w - 2, -1, -1):
+        x = end - k
+        less = (high[x] < high[best]) | ((high[x] == high[best]) & (low[x] < low[best]))
+        best = np.where(less, x, best)
+    return end, best
+
+
+def sequence_minimizers(seqs: DataFrame, codes: list[str], w: int, reduction: str = "murphy10") -> DataFrame:
+    """minimizers of the sequences' seeds, each text in one piece."""
+
+    def found(row, pos, letters, rows):
+        high, low = digest.md5_words(letters)
+        end, best = sliding_least(row, high, low, w)
+        keep = np.ones(len(best), dtype=bool)
+        keep[1:] = (row[end[1:]] != row[end[:-1]]) | (high[best[1:]] != high[best[:-1]]) | (low[best[1:]] != low[best[:-1]])
+        best = best[keep]
+        return row[best], [string_rows(letters[best]), pa.array(pos[best].astype(np.int32))]
+
+    def by_text(s):
+        return each_row(s, codes, reduction, found, "seed string, pos int").select("shape", "seed", "oid", "pos")
+
+    return apart(seqs, by_text, lambda s: minimizers(spaced_seeds(s, codes, reduction), w))
+
+
 def reduced_bytes(reduction: str) -> np.ndarray:
     """The byte that each byte is reduced to."""
     out = np.arange(256, dtype=np.uint8)

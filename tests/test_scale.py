@@ -1,11 +1,13 @@
 """Plans that read each sequence once give the rows of the plain operators."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from seqweave.functions import scores, shapes
+from seqweave.functions import digest, scores, shapes
 from seqweave.operators import align, chaining, joins, seeds
 
 CODE = shapes.SHAPES["default"][0]
@@ -94,3 +96,26 @@ def test_scores_without_traces(side, monkeypatch):
     biases = [bias[k % 5] for k in range(40)]
     want = [a["score"] if a else 0 for a in align.local_alignments(queries, targets, biases=biases)]
     assert align.local_scores(queries, targets, biases=biases).tolist() == want and max(want) > 50
+
+
+def test_md5_of_many_orders_as_its_text():
+    rng = np.random.default_rng(2)
+    for size in (0, 3, 10, 15, 55):
+        letters = rng.integers(65, 91, (50, size)).astype(np.uint8)
+        high, low = digest.md5_words(letters)
+        assert [f"{a:016x}{b:016x}" for a, b in zip(high.tolist(), low.tolist(), strict=True)] == [hashlib.md5(x.tobytes()).hexdigest() for x in letters]
+
+
+@pytest.mark.parametrize("block", [seeds.BLOCK, 50])
+def test_each_text_in_one_piece(spark, sides, block, monkeypatch):
+    monkeypatch.setattr(seeds, "BLOCK", block)
+    codes = [*shapes.SHAPES["default"], "1101"]
+    t = sides[1].where("oid is null or oid <> 3")
+    s = seeds.spaced_seeds(t, codes)
+    assert rows(seeds.sequence_minimizers(t, codes, 4), "shape", "seed", "oid", "pos") == rows(seeds.minimizers(s, 4), "shape", "seed", "oid", "pos")
+    for part in sides[1], t:  # ids of two texts count as one
+        s = seeds.spaced_seeds(part, codes)
+        assert rows(seeds.sequence_sketch(part, codes, 5), "shape", "oid", "seed", "pos") == rows(seeds.sketch(s, 5), "shape", "oid", "seed", "pos")
+        want = s.groupBy("shape", "oid").agg(F.count("*").alias("n"), F.countDistinct("seed").alias("keys"), F.min("seed").alias("low"), F.max("seed").alias("high"))
+        columns = ("shape", "oid", "n", "keys", "low", "high")
+        assert rows(seeds.seed_summary(part, codes), *columns) == rows(want, *columns)
