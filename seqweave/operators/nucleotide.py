@@ -6,11 +6,14 @@ import math
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.functions import alphabet
+from seqweave.functions import alphabet, digest
 from seqweave.operators import seeds
+from seqweave.plans.scratch import cut_lineage
 
 
 def matrix(match: int = 2, mismatch: int = -3) -> np.ndarray:
@@ -57,6 +60,103 @@ def minimizers(dna: DataFrame, k: int = 15, w: int = 10) -> DataFrame:
     return s.select("oid", best.alias("b"), full.alias("f")).where("f").select("oid", "b.seed", "b.pos", "b.strand").distinct()
 
 
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+_COMPLEMENT[list(b"ACGT")] = list(b"TGCA")
+_BASE = np.full(256, -1, dtype=np.int64)
+_BASE[list(b"ACGT")] = range(4)
+
+
+def text_minimizers(text: pa.StringArray, k: int, w: int, block: int | None = None):
+    """(row, pos, letters, strand) of the minimisers of texts, block by block of whole texts."""
+    bad = np.zeros(256, dtype=bool)
+    bad[ord("N")] = True
+    for first, at, data in seeds.each_text(text.fill_null(""), block):
+        row, pos, letters = seeds.windows_of(data, at, np.arange(k), bad)
+        back = _COMPLEMENT[letters][:, ::-1]
+        differs = letters != back
+        each, place = np.arange(len(letters)), differs.argmax(axis=1)
+        forward = letters[each, place] < back[each, place]
+        keep = np.flatnonzero(differs[each, place])  # one strand's text can be the other's: such have no strand
+        row, pos, forward = row[keep], pos[keep], forward[keep]
+        letters = np.where(forward[:, None], letters[keep], back[keep])
+        _, best = seeds.sliding_least(row, *digest.md5_words(letters), w)
+        best = best[np.append(True, best[1:] != best[:-1])] if len(best) else best
+        yield row[best] + first, pos[best], letters[best], np.where(forward[best], 1, -1)
+
+
+def sequence_minimizers(dna: DataFrame, k: int = 15, w: int = 10, keys: list | None = None) -> DataFrame:
+    """minimizers, each text in one piece; with keys, only those whose seed is among them."""
+    wanted = None if keys is None else pa.array(keys, pa.string())
+
+    def read(batches):
+        for batch in batches:
+            for row, pos, letters, strand in text_minimizers(batch.column("_s"), k, w):
+                out = pa.RecordBatch.from_arrays([batch.column("oid").take(pa.array(row)), seeds.string_rows(letters), pa.array(pos.astype(np.int32)), pa.array(strand.astype(np.int32))], names=["oid", "seed", "pos", "strand"])
+                yield out if wanted is None else out.filter(pc.is_in(out.column("seed"), value_set=wanted))
+
+    def by_id(s):
+        m = minimizers(s, k, w)
+        return m if keys is None else m.where(F.col("seed").isin(keys))
+
+    kind = dna.schema["oid"].dataType.simpleString()
+    return seeds.apart(dna, lambda s: s.select("oid", F.col("seq").alias("_s")).mapInArrow(read, f"oid {kind}, seed string, pos int, strand int"), by_id)
+
+
+def seed_counts(dna: DataFrame, k: int = 15, w: int = 10) -> DataFrame:
+    """(code, seed, n): how many minimisers have a seed, given by two bits a base, or by its text if it has other letters."""
+
+    def read(batches):
+        for batch in batches:
+            for _, _, letters, _ in text_minimizers(batch.column("_s"), k, w, seeds.MANY):
+                plain = (_BASE[letters] >= 0).all(axis=1)
+                code = np.zeros(int(plain.sum()), dtype=np.int64)
+                for column in letters[plain].T:
+                    code = (code << 2) | _BASE[column]
+                code, n = np.unique(code, return_counts=True)
+                rest = seeds.string_rows(letters[~plain])
+                both = [pa.concat_arrays([pa.array(code), pa.nulls(len(rest), pa.int64())]), pa.concat_arrays([pa.nulls(len(code), pa.string()), rest]), pa.array(np.append(n, np.ones(len(rest), dtype=np.int64)))]
+                yield pa.RecordBatch.from_arrays(both, names=["code", "seed", "n"])
+
+    def by_id(s):
+        return minimizers(s, k, w).select(F.lit(None).cast("long").alias("code"), "seed", F.lit(1).cast("long").alias("n"))
+
+    def plain_code(c):  # the same number for texts of repeated ids
+        digits = F.transform(F.split(F.translate(c, "ACGT", "0123"), ""), lambda x: x.cast("long"))
+        return F.when(c.rlike("^[ACGT]+$"), F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 2) + x))
+
+    if k > 31:
+        return minimizers(dna, k, w).groupBy(F.lit(None).cast("long").alias("code"), "seed").agg(F.count("*").alias("n"))
+    n = seeds.apart(dna, lambda s: s.select(F.col("seq").alias("_s")).mapInArrow(read, "code long, seed string, n long"), by_id)
+    n = n.withColumn("code", F.coalesce("code", plain_code(F.col("seed")))).withColumn("seed", F.when(F.col("code").isNull(), F.col("seed")))
+    return n.groupBy("code", "seed").agg(F.sum("n").alias("n"))
+
+
+def repetitive_from(counts: DataFrame, share: float = 0.0002) -> int | None:
+    """The count from which drop_repetitive drops keys; None if it drops none."""
+    sizes = sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True)
+    most, above, out = math.floor(sum(keys for _, keys in sizes) * share), 0, None
+    for n, keys in sizes:
+        above += keys
+        if above > most or n <= 1:
+            break
+        out = n
+    return out
+
+
+def shared_index(queries: DataFrame, targets: DataFrame, k: int = 15) -> DataFrame:
+    """What anchors needs of drop_repetitive(minimizers(targets, k)): minimisers that some query has. How often seeds occur is
+    counted over all targets."""
+    keys = [r["seed"] for r in sequence_minimizers(queries, k).select("seed").distinct().limit(seeds.MOST_KEYS + 1).collect()]
+    if len(keys) > seeds.MOST_KEYS:
+        return drop_repetitive(sequence_minimizers(targets, k))
+    cut = repetitive_from(seed_counts(targets, k))
+    index = sequence_minimizers(targets, k, keys=keys)
+    if cut is None:
+        return index
+    index = cut_lineage(index)
+    return index.join(index.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= cut).select("seed"), "seed", "left_anti")
+
+
 def drop_repetitive(index: DataFrame, share: float = 0.0002) -> DataFrame:
     """Index without the `share` of keys that occur most often; keys of one count go or stay together."""
     n = index.groupBy("seed").agg(F.count("*").alias("n"))
@@ -105,7 +205,7 @@ CHAINS = "qid bigint, tid bigint, strand int, qbegin int, qend int, sbegin int,
 
 def map_queries(queries: DataFrame, targets: DataFrame, k: int = 15, least: float = 30.0) -> DataFrame:
     """Chains of each query with primary flag and mapping quality from its best and second chain."""
-    index = drop_repetitive(minimizers(targets, k))
+    index = shared_index(queries, targets, k)
 
     def chained(frame):
         import pandas as pd

@@ -18,6 +18,8 @@ from seqweave.functions import alphabet, digest, shapes
 
 #: Positions whose seeds are gathered at once.
 BLOCK = 1 << 16
+#: Letters whose windows are told apart at once.
+MANY = 1 << 20
 #: Keys of queries up to which every task gets them all.
 MOST_KEYS = 1_000_000
 
@@ -56,14 +58,14 @@ def seed_rows(seqs: DataFrame, codes: list[str], seq: str, keep: tuple[str, ...]
     return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(gathered, f"shape int, seed string, {kinds}, pos int")
 
 
-def each_text(text: pa.StringArray):
-    """(first row, offsets, bytes) of texts in a row that have BLOCK letters or more together; offsets count from 0."""
+def each_text(text: pa.StringArray, block: int | None = None):
+    """(first row, offsets, bytes) of texts in a row that have BLOCK (or `block`) letters or more together; offsets count from 0."""
     at = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
     if not len(text) or at[-1] == at[0]:
         return
     data, a = np.frombuffer(text.buffers()[2], dtype=np.uint8), 0
     while a < len(text):
-        b = min(len(text), max(a + 1, int(np.searchsorted(at, at[a] + BLOCK))))
+        b = min(len(text), max(a + 1, int(np.searchsorted(at, at[a] + (block or BLOCK)))))
         if at[b] > at[a]:
             yield a, at[a : b + 1] - at[a], data[at[a] : at[b]]
         a = b
@@ -302,6 +304,23 @@ def windows(seqs: DataFrame, span: int, seq: str = "seq", keep: tuple[str, ...]
     return seed_rows(seqs, ["1" * span], seq, keep, "").select(*keep, "pos", F.col("seed").alias("win"))
 
 
+def distinct_windows(seqs: DataFrame, span: int, seq: str = "seq") -> DataFrame:
+    """(win): the different windows of `span` letters; those of many texts are told apart before they leave the task."""
+    ones, none = np.arange(span), np.zeros(256, dtype=bool)
+
+    def read(batches):
+        for batch in batches:
+            for _, at, data in each_text(batch.column("_s").fill_null(""), MANY):
+                _, _, letters = windows_of(data, at, ones, none)
+                if len(letters):
+                    words = words_of(letters)
+                    order = np.argsort(words[0]) if len(words) == 1 else np.lexsort(words[::-1])
+                    new = np.any([np.append(True, np.diff(x[order]) != 0) for x in words], axis=0)
+                    yield pa.RecordBatch.from_arrays([string_rows(letters[order[new]])], names=["win"])
+
+    return seqs.select(F.col(seq).alias("_s")).mapInArrow(read, "win string").distinct()
+
+
 def spaced_seeds(seqs: DataFrame, codes: list[str], reduction: str = "murphy10", keep: tuple[str, ...] = ("oid",)) -> DataFrame:
     """(shape, seed, keep.., pos): seeds of every shape; a window with X, a stop or a delimiter at a 1-position has none."""
     return seed_rows(seqs.select(*keep, alphabet.reduce_residues(F.col("seq"), reduction).alias("_r")), codes, "_r", keep, "X*_")

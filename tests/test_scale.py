@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqweave.functions import digest, scores, shapes
-from seqweave.operators import align, chaining, joins, seeds
+from seqweave.operators import align, chaining, joins, nucleotide, seeds
 
 CODE = shapes.SHAPES["default"][0]
 
@@ -119,3 +119,31 @@ def test_each_text_in_one_piece(spark, sides, block, monkeypatch):
         want = s.groupBy("shape", "oid").agg(F.count("*").alias("n"), F.countDistinct("seed").alias("keys"), F.min("seed").alias("low"), F.max("seed").alias("high"))
         columns = ("shape", "oid", "n", "keys", "low", "high")
         assert rows(seeds.seed_summary(part, codes), *columns) == rows(want, *columns)
+
+
+@pytest.mark.parametrize("span", [8, 15])
+def test_distinct_windows(spark, sides, span, monkeypatch):
+    monkeypatch.setattr(seeds, "MANY", 100)
+    want = rows(seeds.windows(sides[1], span).select("win").distinct())
+    got = seeds.distinct_windows(sides[1], span)
+    assert rows(got) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_index_of_shared_minimizers(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    repeat = "".join(rng.choice("ACGT") for _ in range(60))
+    q = table(spark, [(0, base[:150] + repeat), (1, "AC"), (2, base[100:])])
+    t = [base + repeat] + [repeat + x for x in texts(rng, 8, "ACGT")] + [base[40:200] + "N" + base[::-1], "R".join((base[:50], base[60:120])), "", base[10:90]]
+    targets = table(spark, [*enumerate(t), (2, base), (2, repeat), (77, None)])
+    for part in targets, targets.where("oid <> 2"):
+        assert rows(nucleotide.sequence_minimizers(part), "oid", "seed", "pos", "strand") == rows(nucleotide.minimizers(part), "oid", "seed", "pos", "strand")
+        counted = sorted(r["n"] for r in nucleotide.seed_counts(part).collect())
+        n = nucleotide.minimizers(part).groupBy("seed").count()
+        assert counted == sorted(r["count"] for r in n.collect())
+        whole = rows(nucleotide.anchors(q, nucleotide.drop_repetitive(nucleotide.minimizers(part), 0.0002)))
+        assert rows(nucleotide.anchors(q, nucleotide.shared_index(q, part))) == whole and whole
+        kept = nucleotide.drop_repetitive(n.drop("count").join(nucleotide.minimizers(part), "seed"), 0.05).select("seed").distinct().count()
+        cut = nucleotide.repetitive_from(nucleotide.seed_counts(part), 0.05)
+        assert cut is not None and n.where(F.col("count") < cut).count() == kept
