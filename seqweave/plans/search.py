@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweave.functions import scores, shapes
 from seqweave.operators import align, chaining, joins, masking, ranking, seeds, translation
+from seqweave.plans.scratch import cut_lineage
 
 #: Cells of dynamic programming up to which target ranges that overlap are aligned as one.
 MOST_CELLS = 1 << 24
@@ -52,7 +52,17 @@ def search_seeds(seqs: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 def hits(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame:
     """(qid, tid, i, j, shape, hamming): one seed hit per diagonal run that passes the identity filter."""
-    q, t = search_seeds(queries, cfg), search_seeds(targets, cfg)
+    least = cfg.least_identities if cfg.least_identities is not None else shapes.least_identities(cfg.sensitivity)
+    q = search_seeds(queries, cfg)
+    keys = None if cfg.mask or cfg.linear else seeds.key_list(q)
+    if keys is not None:
+        # read once: the cut of frequent seeds counts them before they are joined
+        t = cut_lineage(seeds.seeds_around(targets, cfg.shapes(), keys))
+        if cfg.freq_sd:
+            t = seeds.drop_frequent(t, cfg.freq_sd)
+        around = seeds.seeds_around(queries, cfg.shapes()).join(q.select("shape", "seed").distinct(), ["shape", "seed"], "left_semi")
+        return joins.leftmost(joins.window_hits(around, t, queries, targets, least))
+    t = search_seeds(targets, cfg)
     if cfg.freq_sd:
         t = seeds.drop_frequent(seeds.only_shared(t, q), cfg.freq_sd)
     if cfg.linear:
@@ -61,29 +71,31 @@ def hits(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame
         found = joins.star_join(q, t, cfg.linear)
     else:
         found = joins.seed_join(q, t)
-    least = cfg.least_identities if cfg.least_identities is not None else shapes.least_identities(cfg.sensitivity)
     return joins.leftmost(joins.hamming_filter(found, queries, targets, least))
 
 
 def best_hits(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame:
     """(qid, tid, i, j, score): the hit with the best ungapped window score of each pair."""
-    h = hits(queries, targets, cfg).select("qid", "tid", "i", "j")
-    h = h.join(queries.select(F.col("oid").alias("qid"), F.col("seq").alias("qseq")), "qid").join(targets.select(F.col("oid").alias("tid"), F.col("seq").alias("tseq")), "tid")
-    s = align.score_hits(h).where(F.col("score") > cfg.ungapped_cut)
-    return s.groupBy("qid", "tid").agg(F.max_by(F.struct("i", "j", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("_b")).select("qid", "tid", "_b.*")
+
+    def best(q, t, i, j, base):
+        score, a, b = max((align.window_score(q, t, a, b), -a, -b) for a, b in zip(i.tolist(), j.tolist(), strict=True))
+        if score > cut:
+            yield -a, base - b, score
+
+    cut = cfg.ungapped_cut
+    return chaining.each_pair(chaining.with_texts(hits(queries, targets, cfg), queries, targets), best, "i int, j int, score int")
 
 
 def bands(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """(qid, tid, lo, hi): ranges of the target to align, which together hold the band of every chain of the pair's hits.
+    """(qid, tid, lo, hi, score, qlen, slen): ranges of the target to align, which together hold the band of every chain of the
+    pair's hits, and the score of the alignment in each.
 
     A range reaches over a chain's diagonals by the query's length and the margin; without a margin it is the whole target.
     """
-    h = hits(queries, targets, cfg).groupBy("qid", "tid").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("_hits"))
-    h = h.join(queries.select(F.col("oid").alias("qid"), F.col("seq").alias("qseq")), "qid").join(targets.select(F.col("oid").alias("tid"), F.col("seq").alias("tseq")), "tid")
-    cut, margin = cfg.ungapped_cut, cfg.margin
+    cut, margin, go, ge, corrected = cfg.ungapped_cut, cfg.margin, cfg.gap_open, cfg.gap_extend, cfg.bias
 
-    def ranges(q, t, found):
-        found = [(i, j) for i, j in found if align.window_score(q, t, i, j) > cut]
+    def ranges(q, t, i, j, base):
+        found = [(a, b) for a, b in sorted(zip(i.tolist(), j.tolist(), strict=True)) if align.window_score(q, t, a, b) > cut]
         if not found or not margin:
             return [(0, len(t))] if found else []
         # a hit whose extension scores nothing is in no chain; its own diagonal is aligned all the same
@@ -98,19 +110,28 @@ def bands(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFram
                 out.append((lo, hi))
         return out
 
-    def banded(batches):
-        for batch in batches:
-            where, lows, highs = [], [], []
-            for r, (qseq, tseq, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("qseq", "tseq", "_hits")), strict=True)):
-                for lo, hi in ranges(scores.encode(qseq), scores.encode(tseq), [(x["i"], x["j"]) for x in found]):
-                    where.append(r)
-                    lows.append(lo)
-                    highs.append(hi)
-            take = pa.array(where, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("qid").take(take), batch.column("tid").take(take), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["qid", "tid", "lo", "hi"])
+    def scored(codes, texts, where, rows, base, slen):
+        biases: dict = {}
+        for r in where:
+            if corrected and codes[r].tobytes() not in biases:
+                biases[codes[r].tobytes()] = scores.composition_bias(codes[r])
+        found = align.local_scores([codes[r] for r in where], [texts[r][lo:hi] for r, (lo, hi) in zip(where, rows, strict=True)], go, ge, [biases.get(codes[r].tobytes()) for r in where])
+        return [(lo + int(base[r]), hi + int(base[r]), int(s), len(codes[r]), int(slen[r])) for r, (lo, hi), s in zip(where, rows, found, strict=True)]
 
-    kinds = {c: h.schema[c].dataType.simpleString() for c in ("qid", "tid")}
-    return h.select("qid", "tid", "qseq", "tseq", "_hits").mapInArrow(banded, f"qid {kinds['qid']}, tid {kinds['tid']}, lo int, hi int")
+    pairs = chaining.with_texts(hits(queries, targets, cfg), queries, targets, margin)
+    return chaining.each_pair(pairs, ranges, "lo int, hi int, score int, qlen int, slen int", scored)
+
+
+def worth_aligning(ranges: DataFrame, db: int, cfg: SearchConfig) -> DataFrame:
+    """(qid, tid, lo, hi) of the bands whose alignments can be among the results: the significant ones of the best targets, and
+    of one target the best ones if it has one alignment. Filters of alignments are met later, so with them all targets stay."""
+    h = ranges.where("score > 0").withColumn("evalue", align.evalues(db, cfg.gap_open, cfg.gap_extend)).withColumn("bitscore", scores.bitscore(F.col("score"), cfg.gap_open, cfg.gap_extend))
+    h = cut_lineage(ranking.significant(h, cfg.max_evalue, cfg.min_bits))
+    if not cfg.filters:
+        h = ranking.top_percent(h, cfg.top) if cfg.top is not None else ranking.top_targets(h, cfg.k or 10**9)
+        if cfg.max_hsps == 1:
+            h = h.withColumn("_best", F.max("score").over(Window.partitionBy("qid", "tid"))).where("score = _best")
+    return h.select("qid", "tid", "lo", "hi")
 
 
 def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = None) -> DataFrame:
@@ -121,8 +142,10 @@ def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = No
     title = lambda df: F.col("title") if "title" in df.columns else name(df)
     q = queries.select(F.col("oid").alias("qid"), name(queries).alias("qseqid"), title(queries).alias("qtitle"), F.col("seq").alias("full_qseq"), F.length("seq").alias("qlen"))
     t = targets.select(F.col("oid").alias("tid"), name(targets).alias("sseqid"), title(targets).alias("stitle"), F.col("seq").alias("full_sseq"), F.length("seq").alias("slen"))
+    # scores come first, of all pairs; only what can be among the results is aligned with its way back
+    chosen = worth_aligning(bands(queries, targets, cfg), db, cfg)
     # dealt by number, not by size: rows are small, but each is an alignment
-    dealt = bands(queries, targets, cfg).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "tid", "lo")
+    dealt = cut_lineage(chosen.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid", "tid", "lo"))
     pairs = dealt.join(q, "qid").join(t, "tid").withColumn("qseq", F.col("full_qseq")).withColumn("tseq", F.col("full_sseq"))
     h = align.align_pairs(pairs, cfg.gap_open, cfg.gap_extend, cfg.bias, cfg.max_hsps)
     if cfg.max_hsps > 1:  # ranges too large to be joined may overlap and find one alignment twice
@@ -138,8 +161,6 @@ def search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig | None = No
 
 def iterated_search(queries: DataFrame, targets: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Rounds of rising sensitivity; only queries without a hit go on."""
-    from seqweave.plans.scratch import cut_lineage
-
     found, left = None, queries
     for level in [*shapes.ITERATED.get(cfg.sensitivity, []), cfg.sensitivity]:
         part = cut_lineage(search(left, targets, SearchConfig(**{**cfg.__dict__, "sensitivity": level})))
